@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Bits of a block made by bitmap_construct_agg.
 BLOCK_BITS = 32768
 SLOTS_PER_ROW = 16
+#: Rows of a group from which it may be broadcast.
+LARGE = 1000
 
 
 def _filter_slots(rows: int) -> int:
@@ -58,23 +60,43 @@ def with_repeat_hint(docs: DataFrame, text_col: str, broadcast_bytes: int) -> tu
     return rows.filter(~F.col("__weft_maybe")).drop("__weft_maybe"), rows.filter("__weft_maybe").drop("__weft_maybe")
 
 
-def _groups(maybe: DataFrame, id_col: str) -> DataFrame:
-    return maybe.groupBy("__weft_sha").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+def _groups(maybe: DataFrame, id_col: str, keep: str) -> DataFrame:
+    return maybe.groupBy("__weft_sha").agg((F.max if keep == "max" else F.min)(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256."""
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256.
+
+    Groups above `LARGE` rows, or a thousandth of all rows if that is more, number a thousand at most; they are
+    broadcast, so that no task gets all rows of one text.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     once, maybe = with_repeat_hint(rows, "text", broadcast_bytes)
     maybe = maybe.select("id", "__weft_sha")
-    found = maybe.join(_groups(maybe, "id"), "__weft_sha")
+    groups = _groups(maybe, "id", keep)
+    large = F.col("group_size") > max(LARGE, rows.count() // 1000)
+    hot, cold = F.broadcast(groups.filter(large)), groups.filter(~large)
+    found = maybe.join(hot, "__weft_sha").unionByName(maybe.join(hot, "__weft_sha", "left_anti").join(cold, "__weft_sha"))
     alone = once.select("id", "__weft_sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return found.select(*alone.columns).unionAll(alone).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__weft_sha")).alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """The documents that stay, with their columns; rows whose text occurs once are never shuffled."""
+def split_copies(docs: DataFrame, id_col: str, text_col: str, keep: str = "max", broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, copies that do not), each with the columns of `docs`.
+
+    Rows that stay gain __weft_sha and __weft_size, the number of rows with their text; copies are the others.
+    The join is on digest and id, so the rows of one text are spread over tasks.
+    """
     once, maybe = with_repeat_hint(docs, text_col, broadcast_bytes)
-    keep = _groups(maybe.select(F.col(id_col).alias("id"), "__weft_sha"), "id").select(F.col("__weft_sha").alias("__weft_keep_sha"), F.col("keep_id").alias("__weft_keep_id"))
-    winners = maybe.join(keep, (F.col("__weft_sha") == F.col("__weft_keep_sha")) & F.col(id_col).eqNullSafe(F.col("__weft_keep_id")), "left_semi")
-    return winners.dropDuplicates([id_col, "__weft_sha"]).drop("__weft_sha").unionAll(once.drop("__weft_sha"))
+    groups = _groups(maybe.select(F.col(id_col).alias("id"), "__weft_sha"), "id", keep).select(F.col("__weft_sha").alias("__weft_of"), F.col("keep_id").alias("__weft_keep"), F.col("group_size").alias("__weft_size"))
+    same = (F.col("__weft_sha") == F.col("__weft_of")) & F.col(id_col).eqNullSafe(F.col("__weft_keep"))
+    winners = maybe.join(groups, same).drop("__weft_of", "__weft_keep")
+    copies = maybe.join(groups, same, "left_anti").drop("__weft_sha")
+    return winners.unionByName(once.withColumn("__weft_size", F.lit(1).cast("long"))), copies
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The documents that stay, with their columns; rows whose text occurs once are never shuffled."""
+    stay, _ = split_copies(docs, id_col, text_col, keep, broadcast_bytes)
+    again = F.col("__weft_size") > 1
+    return stay.filter(again).dropDuplicates([id_col, "__weft_sha"]).unionAll(stay.filter(~again)).drop("__weft_sha", "__weft_size")
