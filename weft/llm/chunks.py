@@ -175,6 +175,21 @@ def runs(hashes: np.ndarray, offs: np.ndarray, window: int, k: int) -> tuple[np.
     return start, end - start, least[start]
 
 
+def minimiser_places(hashes: np.ndarray, offs: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Places of k-grams that are the minimiser of a window (a run may hold several places with equal hashes)."""
+    total, width = int(offs[-1]) - window + 1, window - k + 1
+    if total <= 0:
+        return np.zeros(0, np.int64)
+    step = np.zeros(total + 1, np.int8)
+    fits = np.diff(offs) >= window
+    step[offs[:-1][fits]] += 1
+    step[offs[1:][fits] - window + 1] -= 1
+    pad = np.full(width - 1, ~np.uint64(0))
+    least = np.where(np.cumsum(step[:-1], dtype=np.int8).view(bool), ~sliding_min(hashes, width), ~np.uint64(0))
+    # Inverted, so that the smallest inverse is the largest minimum among the windows around a place.
+    return np.flatnonzero(~sliding_min(np.concatenate([pad, least, pad]), width) == hashes)
+
+
 def bucket_bits(chunks: DataFrame, per_bucket: int = CHUNK_BYTES) -> int:
     """log2 of the number of buckets: about one for each `per_bucket` bytes of text."""
     total = chunks.agg(F.sum("size")).first()[0] or 0
