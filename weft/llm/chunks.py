@@ -66,7 +66,7 @@ def binary_array(lens: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 def _packer(chunk_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size, number = [], 0, TaskContext.get().partitionId() << 32
+    held, size, number = [], 0, TaskContext.get().partitionId() << 40
 
     def flush() -> pa.RecordBatch:
         ids, known, weights, lens, body = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -86,13 +86,16 @@ def _packer(chunk_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             at = end
             if size >= chunk_bytes or at < len(ids):
                 yield flush()
-                held, size, number = [], 0, number + 1
+                held, size, number = [], 0, number + sum(len(x[0]) for x in held)
     if held:
         yield flush()
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, weight_col: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks (chunk, size, blob) of the documents, stored."""
+    """Chunks (chunk, size, blob) of the documents, stored.
+
+    A chunk's number is that of its first row, so number + place numbers all rows.
+    """
     weight = F.col(weight_col) if weight_col else F.lit(1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), weight.cast("long").alias("weight"))
     return stored(rows.mapInArrow(partial(_packer, chunk_bytes), "chunk long, size long, blob binary"), "chunks")

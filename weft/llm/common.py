@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.storage import stored
+
+__all__ = ["A_TO_Z", "WORD_GAP", "let", "stored", "table", "words"]
+
 #: A run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,32 +24,5 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh local one where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = _own_dir()
-    return found.rstrip("/")
-
-
-_OWN: list[str] = []
-
-
-def _own_dir() -> str:
-    if not _OWN:
-        import shutil
-
-        _OWN.append(tempfile.mkdtemp(prefix="weft-shared-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return "file://" + _OWN[0]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: it survives lost executors and cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.common import WORD_GAP
+from weft.llm.common import WORD_GAP, stored
 
 LEAST_QUALITY = 0.01
 SYMBOLS = "#*$%&|<>"
@@ -72,8 +72,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # g = u ** (1 / w) is exp(-key) of the exponential key, so ascending keys are descending g.
     g = F.pow(uniform(F.lit(seed), F.col("id")), 1.0 / F.greatest(F.coalesce(F.nanvl(quality(text), F.lit(LEAST_QUALITY)), F.lit(LEAST_QUALITY)), F.lit(LEAST_QUALITY)))
     rows = base.select("id", "source", n_words(text).alias("size"), (1.0 - g).alias("key"), F.xxhash64("text").alias("tie"))
-    from weft.llm.common import stored
-
     rows = stored(rows, "mix")
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(counts.select("source", "source_size"), weights, share, max_epochs)

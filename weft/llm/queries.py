@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import exact_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from weft.llm import exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filter
 from weft.llm.common import table
 
 #: (host, path, verdict): the fixed rules of the URL query.
@@ -32,6 +32,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op7_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix)}
