@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from weft.llm import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter
 from weft.llm.common import table
 
 #: (host, path, verdict): the fixed rules of the URL query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -40,6 +42,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 ORACLES = {
     "op1_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -56,4 +62,4 @@ select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix, op8_sentencepiece)}
