@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import exact_dedup, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter
+from weft.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter
 from weft.llm.common import table
 
 #: (host, path, verdict): the fixed rules of the URL query.
@@ -50,6 +50,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 ORACLES = {
     "op1_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
@@ -66,4 +70,4 @@ select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix, op8_sentencepiece, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix, op8_sentencepiece, op9_language_id, op10_chat_format)}
