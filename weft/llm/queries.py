@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter
@@ -70,4 +71,4 @@ select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix, op8_sentencepiece, op9_language_id, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_url_filter, op4_suffix_dedup, op5_substring_dedup, op6_jaccard_join, op7_mix, op8_sentencepiece, op9_language_id, op10_chat_format)} | {"pipeline": corpus_pipeline.run}
