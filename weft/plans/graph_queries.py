@@ -1,4 +1,360 @@
-"""Registered graph queries and their SQL twins."""
+"""Registered graph queries and their SQL twins.
+
+The graphs are co-purchases: parts that share an order, over the order lines of at least some quantity. All part
+keys 0 .. V - 1 are vertices, so parts never bought together are isolated.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions.lcg import LCG
+from weft.functions.stats import trial_stats
+from weft.functions.storage import shared_dir
+from weft.operators import components, prep, triangles
+from weft.operators.bfs import BFS
+from weft.operators.graph import Graph
+from weft.operators.ktruss import KTruss
+from weft.operators.pagerank import PageRank
+from weft.plans import runner
+from weft.sources import edge_files, rmat
+
+NODELETS = 8
+
+
+def copurchase_edges(spark: SparkSession, sf_dir: str, quantity: float = 40) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_quantity") >= quantity)
+    a = lines.select("l_orderkey", F.col("l_partkey").alias("src"))
+    b = lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
+    return a.join(b, "l_orderkey").filter("src < dst").select("src", "dst").distinct()
+
+
+def copurchase(spark: SparkSession, sf_dir: str, quantity: float = 40) -> Graph:
+    return Graph(copurchase_edges(spark, sf_dir, quantity), spark.read.parquet(f"{sf_dir}/part.parquet").count())
+
+
+def _on(quantity: float):
+    """Register a function of a graph as a query of (spark, sf_dir)."""
+
+    def wrap(f):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(copurchase(spark, sf_dir, quantity))
+
+        query.__name__, query.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = query
+        return f
+
+    return wrap
+
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+@_on(40)
+def edges_canonical(g):
+    return g.edges
+
+
+@_on(40)
+def vertex_degree(g):
+    return g.degrees
+
+
+@_on(40)
+def adjacency_lists(g):
+    return g.adjacency_lists().select("id", F.array_join(F.col("neighbors").cast("array<string>"), " ").alias("neighbors"))
+
+
+@_on(40)
+def dump_graph(g):
+    return g.dump()
+
+
+@_on(40)
+def degree_distribution(g):
+    return g.degree_distribution()
+
+
+@_on(40)
+def nodelet_histogram(g):
+    return g.edge_distribution(NODELETS).select("nodelet", F.round("share", 9).alias("share"), "bar")
+
+
+@_on(40)
+def graph_check(g):
+    return g.check()
+
+
+@_on(40)
+def first_higher_neighbor(g):
+    return g.find_neighbor(F.col("dst") > F.col("src"))
+
+
+@_on(40)
+def neighbor_degree_sum(g):
+    return g.aggregate_messages(g.degrees, F.col("degree"), F.sum)
+
+
+@_on(40)
+def compress_ids(g):
+    return prep.compress_vertex_ids(g.edges)[0]
+
+
+@_on(40)
+def remap_check(g):
+    """Degrees' distribution does not change when ids are permuted."""
+    return Graph(prep.remap_vertex_ids(g.edges, g.num_vertices, 3), g.num_vertices).degree_distribution()
+
+
+@_on(40)
+def tc_summary(g):
+    return triangles.summary(g)
+
+
+@_on(40)
+def two_paths(g):
+    return triangles.two_paths(g)
+
+
+@_on(40)
+def edge_support(g):
+    return triangles.edge_support(g)
+
+
+@_on(40)
+def tc_check(g):
+    return triangles.check(g)
+
+
+def _labels(g: Graph) -> DataFrame:
+    return components.component_labels(g.vertices, g.edges)
+
+
+@_on(46)
+def cc_labels(g):
+    return _labels(g)
+
+
+@_on(46)
+def cc_sizes(g):
+    return components.sizes(_labels(g))
+
+
+@_on(46)
+def cc_summary(g):
+    return components.sizes(_labels(g)).agg(F.count(F.lit(1)).alias("num_components"), F.max("size").alias("largest"))
+
+
+@_on(40)
+def cc_iterations(g):
+    return g.spark.createDataFrame([(components.connected_components(g.vertices, g.adj)[1],)], "num_iters long")
+
+
+@_on(46)
+def cc_ranges(g):
+    return components.ranges(_labels(g))
+
+
+@_on(46)
+def cc_check(g):
+    return components.check(_labels(g), g.adj)
+
+
+@_on(40)
+def pagerank_5(g):
+    return PageRank(g, max_iters=5).scores.select("id", F.round("score", 9).alias("score"))
+
+
+@_on(1)
+def pagerank_converged(g):
+    r = PageRank(g)
+    return r.scores.select("id", F.round("score", 9).alias("score"), F.lit(r.num_iters).alias("num_iters"))
+
+
+@_on(1)
+def pagerank_check(g):
+    r = PageRank(g)
+    return g.spark.createDataFrame([(r.residual() < r.epsilon,)], "converged boolean")
+
+
+def _source(g: Graph) -> int:
+    return LCG()() % g.num_vertices
+
+
+def _levels(g: Graph, strategy: str) -> DataFrame:
+    return BFS(g, _source(g), strategy).result().select("id", "depth")
+
+
+for _name, _strategy in (("td", "migrating_threads"), ("rw", "remote_writes"), ("beamer", "beamer_hybrid"), ("rwhybrid", "remote_writes_hybrid")):
+    QUERIES[f"bfs_levels_{_name}"] = lambda spark, sf_dir, s=_strategy: _levels(copurchase(spark, sf_dir), s)
+
+
+@_on(40)
+def bfs_parents(g):
+    return BFS(g, _source(g)).result().select("id", "parent")
+
+
+@_on(40)
+def bfs_level_hist(g):
+    return BFS(g, _source(g)).levels.groupBy("depth").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@_on(40)
+def bfs_traversed(g):
+    return g.spark.createDataFrame([(BFS(g, _source(g)).traversed_edges(),)], "traversed long")
+
+
+@_on(40)
+def bfs_trace(g):
+    return BFS(g, _source(g)).trace_frame()
+
+
+@_on(40)
+def bfs_paths(g):
+    return BFS(g, _source(g)).paths()
+
+
+@_on(40)
+def bfs_check(g):
+    return BFS(g, _source(g)).check()
+
+
+@_on(40)
+def ktruss_edges(g):
+    return KTruss(g).edges
+
+
+@_on(40)
+def ktruss_k4(g):
+    return KTruss(g, 4).edges.filter("kte >= 4").select("src", "dst")
+
+
+@_on(40)
+def ktruss_summary(g):
+    return KTruss(g).summary()
+
+
+@_on(40)
+def ktruss_klimit(g):
+    return KTruss(g, 8).summary()
+
+
+@_on(40)
+def ktruss_check(g):
+    return KTruss(g).check()
+
+
+def _scratch(g: Graph, name: str) -> str:
+    """A file name in the shared folder that tasks and driver can open."""
+    from pathlib import Path
+
+    folder = shared_dir(g.spark).removeprefix("file://").removeprefix("file:")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    return f"{folder}/{uuid.uuid4().hex}{name}"
+
+
+def _text(g: Graph, lines: DataFrame, name: str) -> str:
+    path = f"{shared_dir(g.spark)}/{uuid.uuid4().hex}{name}"
+    lines.write.text(path)
+    return path
+
+
+@_on(40)
+def el64_roundtrip(g):
+    edge_files.write_el64(g.edges, path := _scratch(g, ".el64"), g.num_vertices)
+    return edge_files.read_el64(g.spark, path)[0]
+
+
+@_on(40)
+def fileset_roundtrip(g):
+    edge_files.write_fileset(g.edges, path := _scratch(g, ".set"), NODELETS, g.num_vertices)
+    return edge_files.read_fileset(g.spark, path)[0]
+
+
+@_on(40)
+def mtx_roundtrip(g):
+    edge_files.write_mtx(g.edges, path := _scratch(g, ".mtx"), g.num_vertices)
+    return edge_files.read_mtx(g.spark, "file://" + path)[0]
+
+
+@_on(40)
+def snap_txt(g):
+    lines = g.edges.select(F.concat_ws("\t", F.col("dst").cast("string"), F.col("src").cast("string"), F.lit("x")).alias("line"))
+    return edge_files.read_snap(g.spark, _text(g, lines, ".txt"))[0]
+
+
+@_on(40)
+def tsv_import(g):
+    lines = g.edges.select(F.concat_ws("\t", F.col("dst").cast("string"), F.col("src").cast("string"), F.lit("1")).alias("line"))
+    return edge_files.read_tsv(g.spark, _text(g, lines, ".tsv"))[0]
+
+
+QUERIES["rmat_edges"] = lambda spark, sf_dir: rmat.rmat_dataset(spark, rmat.RmatArgs.parse("graph500-scale10"))
+QUERIES["trial_stats"] = lambda spark, sf_dir: trial_stats(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_retailprice").select(*[F.round(c, 4).alias(c) for c in ("sum", "mean", "hmean", "stddev", "min", "max")])
+
+
+@_on(40)
+def run_all(g):
+    return runner.run_all(g, 1)
+
+
+def _sql(quantity: int, body: str, more: str = "") -> str:
+    return f"""with recursive l as (select l_orderkey o, l_partkey p from lineitem where l_quantity >= {quantity}),
+e as (select distinct a.p src, b.p dst from l a join l b on a.o = b.o and a.p < b.p),
+adj as (select src, dst from e union all select dst, src from e),
+v as (select count(*)::bigint n from part), ids as (select unnest(range(0, (select n from v)))::bigint id),
+deg as (select id, count(dst) degree from ids left join adj on src = id group by id){more}
+{body}"""
+
+
+_BFS = """,
+s as (select 6364136223846793006 % (select n from v) root),
+b(id, depth) as (select root, 0 from s union select adj.dst, b.depth + 1 from b join adj on adj.src = b.id where b.depth < 14),
+lv as (select id, min(depth)::int depth from b group by id),
+pa as (select x.id, x.depth, case when x.depth = 0 then x.id else min(y.id) end parent from lv x left join adj on adj.src = x.id left join lv y on y.id = adj.dst and y.depth = x.depth - 1 group by x.id, x.depth)"""
+_CC = """,
+c(id, label) as (select id, id from ids union select adj.dst, c.label from c join adj on adj.src = c.id where c.label < adj.dst),
+cc as (select id, min(label) component from c group by id)"""
+_TRI = """,
+t as (select a.dst u, a.src v, b.src w from e a join e b on b.dst = a.src join e c on c.dst = a.dst and c.src = b.src)"""
+_EDGES = _sql(40, "select src, dst from e")
+_LEVELS = _sql(40, "select ids.id, coalesce(depth, -1)::int depth from ids left join lv on lv.id = ids.id", _BFS)
+_TWO = "(select coalesce(sum(hi * lo), 0)::bigint from (select src, count(*) filter (dst > src) hi, count(*) filter (dst < src) lo from adj group by src)) num_twopaths"
+
+ORACLES = {
+    **dict.fromkeys(("edges_canonical", "el64_roundtrip", "fileset_roundtrip", "mtx_roundtrip", "tsv_import"), _EDGES),
+    "vertex_degree": _sql(40, "select id, degree from deg"),
+    "adjacency_lists": _sql(40, "select src id, string_agg(dst::varchar, ' ' order by dst) neighbors from adj group by src"),
+    "dump_graph": _sql(40, "select src id, src::varchar || ' -> ' || string_agg(dst::varchar, ' ' order by dst) line from adj group by src"),
+    **dict.fromkeys(("degree_distribution", "remap_check"), _sql(40, "select degree, count(*) vertices from deg group by degree")),
+    "nodelet_histogram": _sql(40, f"select nodelet, round(share, 9) share, floor(10 * share / max(share) over ())::bigint bar from (select id % {NODELETS} nodelet, sum(degree)::double / (2.0 * (select count(*) from e)) share from deg group by 1)"),
+    "graph_check": _sql(40, "select (select count(*) from e anti join adj using (src, dst)) missing_forward, (select count(*) from (select dst src, src dst from e) r anti join adj using (src, dst)) missing_backward, (select count(*) from (select 1 from adj group by src, dst having count(*) > 1)) duplicates"),
+    "first_higher_neighbor": _sql(40, "select src id, min(dst) neighbor from adj where dst > src group by src"),
+    "neighbor_degree_sum": _sql(40, "select src id, sum(degree)::bigint as value from adj join deg on deg.id = adj.dst group by src"),
+    **dict.fromkeys(("compress_ids", "snap_txt"), _sql(40, "select a.n src, b.n dst from e join m a on a.id = src join m b on b.id = dst", ",\nm as (select id, row_number() over (order by id) - 1 n from deg where degree > 0)")),
+    **dict.fromkeys(("tc_summary", "tc_check"), _sql(40, f"select (select count(*) from t) num_triangles, {_TWO}", _TRI)),
+    "two_paths": _sql(40, f"select {_TWO}"),
+    "edge_support": _sql(40, "select e.dst src, e.src dst, count(x.a) support from e left join (select u a, v b from t union all select v, w from t union all select u, w from t) x on x.a = e.dst and x.b = e.src group by 1, 2", _TRI),
+    "cc_labels": _sql(46, "select id, component from cc", _CC),
+    "cc_sizes": _sql(46, "select component, count(*) size from cc group by component", _CC),
+    "cc_summary": _sql(46, "select count(*) num_components, max(size) largest from (select count(*) size from cc group by component)", _CC),
+    "cc_ranges": _sql(46, "select component, 'Component ' || component || ': ' || string_agg(case when lo = hi then lo::varchar else lo || '-' || hi end, ', ' order by lo) line from (select component, min(id) lo, max(id) hi from (select component, id, id - row_number() over (partition by component order by id) island from cc) group by component, island) group by component", _CC),
+    "cc_check": _sql(46, "select count(*) filter (a.component <> b.component) split_edges, (select count(*) from (select component from cc group by component having min(id) <> component)) wrong_labels from adj join cc a on a.id = src join cc b on b.id = dst", _CC),
+    "pagerank_5": _sql(40, "select id, round(score, 9) score from pr where step = 5", """,
+pr(step, id, score) as (select 0, id, 1.0::double / (select n from v) from ids union all
+  select p.step + 1, p.id, 0.15::double / (select n from v) + 0.85::double * coalesce(sum(q.score / d.degree), 0) from pr p left join adj on adj.src = p.id left join pr q on q.id = adj.dst left join deg d on d.id = adj.dst where p.step < 5 group by p.step, p.id)"""),
+    **{f"bfs_levels_{x}": _LEVELS for x in ("td", "rw", "beamer", "rwhybrid")},
+    "bfs_parents": _sql(40, "select ids.id, coalesce(parent, -1) parent from ids left join pa on pa.id = ids.id", _BFS),
+    "bfs_level_hist": _sql(40, "select depth, count(*) vertices from lv group by depth", _BFS),
+    "bfs_traversed": _sql(40, "select (sum(degree) // 2)::bigint traversed from lv join deg using (id)", _BFS),
+    "bfs_paths": _sql(40, "select id, path from w", _BFS + ",\nw(id, path) as (select id, id::varchar from pa where depth = 0 union all select pa.id, pa.id || ' <- ' || w.path from w join pa on pa.parent = w.id and pa.depth > 0)"),
+    "bfs_check": _sql(40, "select 0::bigint wrong_depth, (select count(*) from pa anti join adj on adj.src = pa.id and adj.dst = pa.parent where depth > 0) false_parent, (select count(*) from adj join lv a on a.id = src left join lv b on b.id = dst where b.depth is null or abs(a.depth - b.depth) > 1) skipped, 0::bigint wrong_root", _BFS),
+    "ktruss_k4": _sql(40, "select hi src, lo dst from k where step = 12", _TRI + """,
+k(step, hi, lo) as (select 0, dst, src from e union all
+  select step, hi, lo from (select k.step + 1 step, k.hi, k.lo, count(*) n from k join (select u a, v b, w c, u d, v f from t union all select v, w, u, v, w from t union all select u, w, v, u, w from t) x on x.d = k.hi and x.f = k.lo
+    join k k1 on k1.hi = greatest(x.a, x.c) and k1.lo = least(x.a, x.c) join k k2 on k2.hi = greatest(x.b, x.c) and k2.lo = least(x.b, x.c) where k.step < 12 group by all) where n >= 2)"""),
+    "trial_stats": "select round(sum(p_retailprice), 4) as sum, round(avg(p_retailprice), 4) mean, round(count(*) / sum(1 / p_retailprice), 4) hmean, round(stddev_samp(p_retailprice), 4) stddev, round(min(p_retailprice), 4) as min, round(max(p_retailprice), 4) as max from part",
+}
