@@ -302,6 +302,30 @@ def first_pointers(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_minimisers(heads: np.ndarray, k: int) -> np.ndarray:
+    """The minimiser of each row of units (one window of a string, as the minimiser is the same in all)."""
+    n, width = heads.shape
+    if not n:
+        return np.zeros(0, np.uint64)
+    hashes = grams(heads.ravel(), k)
+    return hashes[np.arange(n)[:, None] * width + np.arange(width - k + 1)].min(axis=1)
+
+
+def groups_of(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Places of equal keys together, in slices of about `limit` units; keys that occur once are left out."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(at, len(keys)))
+    order, at = order[np.repeat(counts > 1, counts)], np.append(0, np.cumsum(counts[counts > 1]))
+    units = np.append(0, np.cumsum(sizes[order]))[at]
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(units, units[a] + limit, "right")) - 1)
+        yield order[at[a] : at[b]]
+        a = b
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """starts[i] .. starts[i] + lens[i] - 1 for all i, end to end."""
     ends = np.cumsum(lens)

@@ -34,6 +34,8 @@ from weft.llm.common import words
 from weft.llm.exact_dedup import split_copies
 
 WINDOW, GRAM = 35, 12
+#: Words whose windows are sorted together.
+SLICE_WORDS = 1 << 18
 ROWS = "id long, n_words long, n_removed long, kept_sha256 string"
 ARROW_ROWS = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -136,15 +138,22 @@ def _send_strings(bits: int):
     return send
 
 
-def repeated_windows(lens: np.ndarray, codes: np.ndarray, count: np.ndarray) -> np.ndarray:
+def repeated_windows(lens: np.ndarray, codes: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each window of the strings (words `codes`, end to end) occurs twice or more, strings counting `count` times."""
     windows = lens - (WINDOW - 1)
-    pointers = C.first_pointers(np.concatenate([codes, np.full(WINDOW, -1)]))
-    for shift in (1, 2, 4, 8, 16, 3):
-        C.refine(pointers, shift)
-    mine = pointers[C.ragged(np.cumsum(lens) - lens, windows)]
-    total = np.bincount(mine, np.repeat(count, windows), len(pointers))
-    return total[mine] > 1
+    starts, place = np.cumsum(lens) - lens, np.cumsum(windows) - windows
+    out = np.repeat(count > 1, windows)
+    least = C.first_minimisers(hashes[codes[starts[:, None] + np.arange(WINDOW)]], GRAM) if len(lens) else np.zeros(0, np.uint64)
+    # Each key is given twice, so that a string alone with its minimiser, which may repeat a window itself, is not left out.
+    for mine in C.groups_of(np.concatenate([least, least]), np.concatenate([lens, lens]), SLICE_WORDS):
+        mine = mine[mine < len(lens)]
+        pointers = C.first_pointers(np.concatenate([codes[C.ragged(starts[mine], lens[mine])], np.full(WINDOW, -1)]))
+        for shift in (1, 2, 4, 8, 16, 3):
+            C.refine(pointers, shift)
+        pointers = pointers[C.ragged(np.cumsum(lens[mine]) - lens[mine], windows[mine])]
+        total = np.bincount(pointers, np.repeat(count[mine], windows[mine]))
+        out[C.ragged(place[mine], windows[mine])] = total[pointers] > 1
+    return out
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -153,12 +162,13 @@ def _answer(group: pa.Table) -> pa.Table:
     lens = np.concatenate([p[1] for p in parts]).astype(np.int64)
     coded = C.binary_array(np.concatenate([p[2] for p in parts]).astype(np.int64), np.concatenate([p[3] for p in parts])).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
     body, ends = codes.astype("<i4").tobytes(), np.cumsum(lens)
     strings = pa.array([body[4 * a : 4 * b] for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)], pa.large_binary()).dictionary_encode()
     string = strings.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     seen = np.unique(string, return_index=True)[1]
     count = np.bincount(string, np.concatenate([p[0] for p in parts]), len(seen))
-    twice = repeated_windows(lens[seen], codes[C.ragged((ends - lens)[seen], lens[seen])], count)
+    twice = repeated_windows(lens[seen], codes[C.ragged((ends - lens)[seen], lens[seen])], count, hashes)
     windows = lens[seen] - (WINDOW - 1)
     begin = np.cumsum(windows) - windows
     out, at = [], 0

@@ -33,6 +33,8 @@ from weft.llm import chunks as C
 from weft.llm.exact_dedup import split_copies
 
 WINDOW, GRAM, Q = 50, 24, 8
+#: Bytes whose suffixes are sorted together.
+SLICE_BYTES = 1 << 19
 ROWS = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
 
 
@@ -124,27 +126,17 @@ def owners(lens: np.ndarray, data: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     best = np.repeat(owner, windows)
     if not len(lens):
         return windows, best
-    starts = np.cumsum(lens) - lens
-    heads = data[starts[:, None] + np.arange(WINDOW)]
-    wide = heads.astype(np.uint64).ravel()
-    least = C.grams(wide, GRAM)
-    least = least[np.arange(len(lens))[:, None] * WINDOW + np.arange(WINDOW - GRAM + 1)].min(axis=1)
-    order = np.argsort(least, kind="stable")
-    ranked = least[order]
-    at = np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked))
-    shared = order[np.repeat(np.diff(at) > 1, np.diff(at))]  # a string alone with its minimiser equals no other
-    if not len(shared):
-        return windows, best
-    inner = C.ragged(starts[shared], lens[shared])
-    pointers = window_buckets(data[inner])
-    begin = np.cumsum(lens[shared]) - lens[shared]
-    pointers = pointers[C.ragged(begin, windows[shared])]
-    where = C.ragged((np.cumsum(windows) - windows)[shared], windows[shared])
-    order = np.argsort(pointers, kind="stable")
-    ranked = pointers[order]
-    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    low = np.minimum.reduceat(best[where][order], at)
-    best[where[order]] = np.repeat(low, np.diff(np.append(at, len(ranked))))
+    starts, place = np.cumsum(lens) - lens, np.cumsum(windows) - windows
+    least = C.first_minimisers(data[starts[:, None] + np.arange(WINDOW)].astype(np.uint64), GRAM)
+    for mine in C.groups_of(least, lens, SLICE_BYTES):  # a string alone with its minimiser equals no other
+        pointers = window_buckets(data[C.ragged(starts[mine], lens[mine])])
+        pointers = pointers[C.ragged(np.cumsum(lens[mine]) - lens[mine], windows[mine])]
+        where = C.ragged(place[mine], windows[mine])
+        order = np.argsort(pointers, kind="stable")
+        ranked = pointers[order]
+        at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        low = np.minimum.reduceat(best[where][order], at)
+        best[where[order]] = np.repeat(low, np.diff(np.append(at, len(ranked))))
     return windows, best
 
 
