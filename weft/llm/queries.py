@@ -68,6 +68,18 @@ parts as (select page_id, lower(regexp_extract(r, '^[^/]*')) host, regexp_extrac
 fits as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) n
   from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
 select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts left join fits on parts.page_id = fits.page_id and n = 1
+""",
+    "op7_mix": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, length(text) n, length(translate(text, '#*$%&|<>', '')) plain from documents),
+k as (select *, 1.0 - pow((('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double, 1.0::double / case when n > 0 then greatest(plain::double / n, 0.01::double) else 1.0::double end) as key from d),
+s as (select source, sum(size)::bigint source_size from d group by source),
+w as (select *, (((row_number() over (order by source nulls last) - 1) % 3) + 1)::double weight, 3.0::double * source_size cap from s),
+v as (select *, greatest(0.0::double, sum(source_size::double) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lev from w),
+t as (select *, least(cap, coalesce((select lev from v where lev <= cap / weight order by cap / weight limit 1), 'inf'::double) * weight) target from v),
+e as (select *, case when source_size > 0 then least(3, floor(target / source_size)) else 0 end::bigint epochs from t),
+r as (select k.doc_id, k.size, e.source_size, e.target, epochs, target - epochs * e.source_size budget, sum(size) over (partition by k.source order by key, doc_id rows unbounded preceding) upto from k join e on k.source is not distinct from e.source),
+c as (select *, epochs + case when budget > 0 and upto - size / 2.0::double <= budget and epochs < 3 then 1 else 0 end copies from r)
+select doc_id, size, source_size, target, (size * copies)::bigint taken, copies::bigint copies from c
 """,
 }
 
