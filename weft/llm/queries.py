@@ -68,6 +68,15 @@ parts as (select page_id, lower(regexp_extract(r, '^[^/]*')) host, regexp_extrac
 fits as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) n
   from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
 select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts left join fits on parts.page_id = fits.page_id and n = 1
+""",
+    "op5_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+x as (select doc_id, i, w[i:i + 34] words from (select doc_id, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by words) n from x) where n > 1),
+g as (select distinct doc_id, unnest(range(i, i + 35)) place from r),
+p as (select doc_id, w[place] word, place from (select doc_id, w, unnest(range(1, len(w) + 1)) place from d)),
+k as (select doc_id, count(*)::bigint n, string_agg(word, ' ' order by place) body from p anti join g using (doc_id, place) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(body, '')) kept_sha256 from d left join k using (doc_id)
 """,
     "op7_mix": r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, length(text) n, length(translate(text, '#*$%&|<>', '')) plain from documents),
