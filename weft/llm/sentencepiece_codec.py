@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Distinct words remembered by a worker, at most.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 #: Characters that are encoded together.
 BATCH_CHARS = 4 << 20
 
@@ -69,12 +70,24 @@ class Model:
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.text = {i: p for p, i in self.ids.items()}
         self.pairs: dict[tuple, bool] = {}
-        self.alone: dict[int, bool] = {}
+        # Pieces that merging can make of their own characters.
+        self.units = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]} if self.kind == BPE else set(self.ids)
+        self.words = self._cuts()
+        self.memo: dict[str, bytes] = {}
+
+    def _cuts(self) -> re.Pattern:
+        """Marked words: cuts lie only where no piece has the two characters side by side."""
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            return re.compile(r"(?s).+")
         wide = {c for p in self.ids if len(p) > 1 for c in p}
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         solo = re.escape("".join(c for c in "\n\t\v\f" if c not in wide))
-        self.words = re.compile(rf"[{solo}]|{MARK}*[^{MARK}{solo}]+|{MARK}+" if solo else rf"{MARK}*[^{MARK}]+|{MARK}+") if not inner else re.compile(r"(?s).+")
-        self.memo: dict[str, bytes] = {}
+        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalnum()}
+        stops = re.escape("".join(c for c in ".,;:!?" if c not in after))
+        body = rf"[^{MARK}{solo}{stops}]"
+        if stops:  # a stop goes with what is before it unless that is a letter or digit
+            body = rf"(?:{body}|(?<![^\W_])[{stops}])"
+        one = rf"{MARK}*{body}+|{MARK}+" + (rf"|[{stops}]{body}*" if stops else "")
+        return re.compile(rf"[{solo}]|{one}" if solo else one)
 
     # -- merging, for pairs only --------------------------------------------------------------------
 
@@ -94,12 +107,6 @@ class Model:
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
-    def whole(self, piece: str) -> bool:
-        """Whether merging the piece's own characters makes the piece."""
-        if (known := self.alone.get(piece)) is None:
-            known = self.alone[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return known
-
     # -- the shared-prefix Viterbi ----------------------------------------------------------------------
 
     def encode_words(self, distinct: list[str]) -> dict[str, bytes]:
@@ -108,10 +115,11 @@ class Model:
         last, best = [""], [0.0]  # of each prefix of the current path: its last piece, its score
         for word in sorted(distinct):
             shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
+            if word.startswith(before):
+                shared = len(before)
+            else:
+                while word[shared] == before[shared]:  # sorted, so they differ before either ends
+                    shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 step(word, end, last, best)
@@ -120,11 +128,15 @@ class Model:
         return out
 
     def _merge_step(self, word: str, end: int, last: list[str], best: list[float]) -> None:
-        ids = self.ids
+        units, known = self.units, self.pairs.get
         for start in range(max(0, end - self.longest), end):
             piece = word[start:end]
-            if piece in ids and self.whole(piece) and (start == 0 or self.survives(last[start], piece)):
-                break
+            if piece in units:
+                if not start:
+                    break
+                ok = known((last[start], piece))
+                if ok or (ok is None and self.survives(last[start], piece)):
+                    break
         else:
             piece = word[end - 1]
         last.append(piece)
@@ -152,7 +164,8 @@ class Model:
             else:
                 back.extend(self.bytes[b] for b in reversed(piece.encode()))
             end -= len(piece)
-        return np.array(back[::-1], "<i4").tobytes()
+        back.reverse()
+        return array("i", back).tobytes()
 
     # -- texts ---------------------------------------------------------------------------------------------
 
