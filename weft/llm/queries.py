@@ -68,6 +68,19 @@ parts as (select page_id, lower(regexp_extract(r, '^[^/]*')) host, regexp_extrac
 fits as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) n
   from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
 select parts.page_id, host, path, rule, coalesce(v, 'allow') verdict from parts left join fits on parts.page_id = fits.page_id and n = 1
+""",
+    "op4_suffix_dedup": r"""
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+b as (select doc_id, base, substr(h, 2 * base + 1, 2146) h from (select doc_id, h, unnest(range(0, length(h) // 2, 1024)) base from d)),
+w as materialized (select doc_id, base + i i, md5_number(substr(h, 2 * i + 1, 100)) g from (select doc_id, base, h, unnest(range(0, length(h) // 2 - 49)) i from b where length(h) >= 100)),
+f as (select g, min(doc_id) owner from w group by g having min(doc_id) < max(doc_id)),
+r as materialized (select w.doc_id, i from w join f using (g) where owner < w.doc_id),
+j as (select *, coalesce(i > lag(i) over (partition by doc_id order by i) + 50, true) as opens from r),
+k as materialized (select doc_id, min(i) lo, max(i) + 50 hi from (select *, sum(opens::int) over (partition by doc_id order by i) run from j) group by doc_id, run),
+q as (select doc_id, hi a, lead(lo) over (partition by doc_id order by lo) b, 0 first from k union all select doc_id, 0, min(lo), 1 from k group by doc_id),
+o as (select q.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' order by a, first desc) kept from q join d using (doc_id) group by q.doc_id),
+t as (select doc_id, sum(hi - lo) gone, count(*) spans from k group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 from d left join t using (doc_id) left join o using (doc_id)
 """,
     "op5_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
@@ -77,6 +90,16 @@ g as (select distinct doc_id, unnest(range(i, i + 35)) place from r),
 p as (select doc_id, w[place] word, place from (select doc_id, w, unnest(range(1, len(w) + 1)) place from d)),
 k as (select doc_id, count(*)::bigint n, string_agg(word, ' ' order by place) body from p anti join g using (doc_id, place) group by doc_id)
 select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(body, '')) kept_sha256 from d left join k using (doc_id)
+""",
+    "op6_jaccard_join": r"""
+with recursive d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as materialized (select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from d),
+n as materialized (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+m as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+l as materialized (select a, b from m union all select b, a from m),
+c(id, label) as (select doc_id, doc_id from d union select l.b, c.label from c join l on l.a = c.id where c.label < l.b)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, min(c.label) component_id from d left join n using (doc_id) join c on c.id = d.doc_id group by d.doc_id, n.n
 """,
     "op7_mix": r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, length(text) n, length(translate(text, '#*$%&|<>', '')) plain from documents),
