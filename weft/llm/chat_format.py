@@ -138,6 +138,36 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "reply_to", thread.alias("thread"), depth.alias("depth"), F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("own").alias("own_text"))
 
 
+def _ahead(rows: DataFrame, within: list[str], by: str) -> DataFrame:
+    """`rows` (..., n) summed by `within` and `by`, with the sum of n of the smaller `by` as `ahead`; null is last."""
+    sums = rows.groupBy(*within, by).agg(F.sum("n").alias("n"))
+    before = W.partitionBy(*within).orderBy(F.col(by).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    return sums.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def placed(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role") -> DataFrame:
+    """`link_quotes` rows with `place`: the message's number in its conversation's reply order, from 0.
+
+    Messages sort by (thread, turn), those of a null turn last; equal turns by role and text. Messages are counted by blocks of
+    threads, threads, and blocks of turns, so only messages of one block are numbered together.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK_TURNS)
+    # As a struct the key equals itself with nulls in it, so numbering and join share one exchange of the texts.
+    key = F.struct(F.col(conv_col).alias("conv"), F.col("thread").alias("thread"), block(turn_col).alias("turns"))
+    rows = stored(linked.withColumn("__key", key), "linked")
+    counts = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).select("__key", "__key.*", "n").withColumn("threads", block("thread"))
+    starts = counts.withColumn("start", F.lit(0).cast("long"))
+    for keys in (["conv", "threads"], ["conv", "threads", "thread"], ["conv", "thread", "turns"]):
+        more = _ahead(counts, keys[:-1], keys[-1]).select(*[F.col(k).alias(f"{k}2") for k in keys], "ahead")
+        on = _same(keys[0], f"{keys[0]}2")
+        for k in keys[1:]:
+            on = on & _same(k, f"{k}2")
+        starts = starts.join(more, on, "left").withColumn("start", F.col("start") + F.col("ahead")).drop("ahead", *[f"{k}2" for k in keys])
+    inside = W.partitionBy("__key").orderBy(turn_col, role_col, F.xxhash64("own_text"), "own_text")
+    out = rows.withColumn("place", F.row_number().over(inside) - 1).join(starts.select(F.col("__key").alias("__key2"), "start"), F.col("__key") == F.col("__key2"))
+    return out.withColumn("place", F.col("place") + F.col("start")).drop("__key", "__key2", "start")
+
+
 def formatted(linked: DataFrame, role_col: str = "role", start: str = "<|{}|>\n", end: str = "\n<|end|>\n") -> DataFrame:
     """`link_quotes` rows with a `turn_text` of role mark, text and end mark; a null role is written `unknown`."""
     head, tail = start.split("{}")

@@ -52,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.link_quotes(table(spark, sf_dir, "conversations"))
+    return chat_format.formatted(chat_format.placed(chat_format.link_quotes(table(spark, sf_dir, "conversations"))))
 
 
 ORACLES = {
