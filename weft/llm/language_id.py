@@ -8,8 +8,8 @@ offset, responses over two neighbouring bytes are looked up in tables of 65,536
 
 Training takes at most `per_language` texts of each language (those whose hash of id and seed comes first), and
 `windows_per_text` evenly spaced windows of each, with Adam on cross-entropy; seeds are fixed, so reruns agree. Only
-text and language are learned from; source and id are never inputs. At most `max_languages`
-languages are learned, the most frequent ones, ties by name.
+text and language are learned from; source and id are never inputs. All languages
+found are learned; texts shorter than a window are filled with spaces, as in prediction.
 
 Defined cases. A text that is null or has no letter is `und` with score 0. If no labelled row may be learned from, all
 texts are `und`. A null id counts as not held out, and hashes as an empty string. Repeated rows give their rows again. Only
@@ -133,21 +133,21 @@ def is_held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, windows_per_text: int = 6, max_languages: int = 200, seed: int = 11) -> Network | None:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, windows_per_text: int = 6, seed: int = 11) -> Network | None:
     """A network trained on the given rows; None if none has a language and text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
     # Rows whose hash is below a share set by the language's count: four times the bound, so that it is nearly always met.
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.xxhash64("text")), F.lit(1 << 52)) / float(1 << 52)
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 4.0 * per_language / n)))])
-    chosen = rows.withColumn("place", place).filter(F.col("place") <= share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * per_language / n)) for lang, n in sizes.items()], "lang string, share double")
+    chosen = rows.withColumn("place", place).join(F.broadcast(shares), "lang").filter(F.col("place") <= F.col("share"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("place", "id"))
     spaced = F.transform(F.sequence(F.lit(0), F.lit(windows_per_text - 1)), lambda k: F.substring(F.col("text").cast("binary"), (k * F.greatest(F.lit(0), F.octet_length("text") - WINDOW) / max(1, windows_per_text - 1)).cast("int") + 1, F.lit(WINDOW)))
     taken = chosen.select("lang", "place", "id", F.array_distinct(spaced).alias("parts")).withColumn("nth", nth).filter(F.col("nth") <= per_language).orderBy("lang", "nth").select("lang", "parts").collect()
     languages = sorted({r["lang"] for r in taken})
-    pieces = [(bytes(p), languages.index(r["lang"])) for r in taken for p in r["parts"] if len(p) >= 16]
+    pieces = [(bytes(p), languages.index(r["lang"])) for r in taken for p in r["parts"] if len(p)]
     if not pieces:
         return None
     x = np.full((len(pieces), WINDOW), 32, np.uint8)
