@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,16 +48,23 @@ def count_unique_vertex_ids(edges: DataFrame) -> int:
     return endpoints(edges).count()
 
 
+def placed(rows: DataFrame, order: list, size: str | None = None) -> DataFrame:
+    """Rows with `place`, the sum of the sizes (1 each by default) of those before in the given order.
+
+    Ranges are summed first, so that no task sees all rows.
+    """
+    keyed = rows.withColumn("__key", F.struct(*order)).withColumn("__size", F.col(size) if size else F.lit(1).cast("long"))
+    ranged = stored(keyed.repartitionByRange("__key").withColumn("__part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__part").agg(F.sum("__size").alias("sum"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    starts = sums.select("__part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("__start"))
+    inside = F.sum("__size").over(W.partitionBy("__part").orderBy("__key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__size")
+    return ranged.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn("place", F.col("__start") + F.col("__inside")).drop("__key", "__size", "__part", "__start", "__inside")
+
+
 def dense_ids(ids: DataFrame, order: list) -> DataFrame:
-    """(id, new_id): ids numbered from 0 in the given order, ranges counted first so that no task sees them all."""
-    keyed = ids.withColumn("key", F.struct(*order)).select("id", "key")
-    ranged = keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    ranged = stored(ranged, "ranged")
-    sizes = ranged.groupBy("part").count()
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(W.partitionBy("part").orderBy("key")) - 1
-    return ranged.withColumn("place", place).join(F.broadcast(starts), "part").select("id", (F.col("start") + F.col("place")).alias("new_id"))
+    """(id, new_id): ids numbered from 0 in the given order."""
+    return placed(ids.select("id", F.struct(*order).alias("order")), [F.col("order")]).select("id", F.col("place").alias("new_id"))
 
 
 def renumber(edges: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -67,10 +74,14 @@ def renumber(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges.join(left, "src").join(right, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def permutation(spark: SparkSession, num_vertices: int, seed: int = 0) -> DataFrame:
+    """(id, new_id): a random permutation of 0 .. num_vertices - 1 that the seed fixes."""
+    return dense_ids(spark.range(num_vertices), [F.xxhash64(F.lit(seed), "id"), F.col("id")])
+
+
 def remap_vertex_ids(edges: DataFrame, num_vertices: int, seed: int = 0) -> DataFrame:
-    """Edges under a random permutation of 0 .. num_vertices - 1 that the seed fixes."""
-    ids = edges.sparkSession.range(num_vertices)
-    return renumber(edges, dense_ids(ids, [F.xxhash64(F.lit(seed), "id"), F.col("id")]))
+    """Edges under a `permutation` of the vertices."""
+    return renumber(edges, permutation(edges.sparkSession, num_vertices, seed))
 
 
 def compress_vertex_ids(edges: DataFrame, permute: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -54,11 +54,13 @@ def _uniform(*parts: Column) -> Column:
 
 
 def rmat_edges(spark: SparkSession, args: RmatArgs, seed: int = 0, attempts: int = 64) -> DataFrame:
-    """num_edges raw edges (src, dst), self-edges drawn again up to `attempts` times, then dropped.
+    """num_edges raw edges (src, dst). A self-edge is drawn again up to `attempts` times, then given another end at random.
 
     At each bit a quadrant is drawn; then each probability is scaled by (9.5 + u) / 10 and all are renormalised.
     """
     levels = max(0, args.num_vertices.bit_length() - 1)
+    if args.num_edges and not levels:
+        raise ValueError("edges need at least two vertices")
     p0 = F.array(*[F.lit(float(x)) for x in (args.a, args.b, args.c, args.d)])
 
     def one(attempt: Column) -> Column:
@@ -78,7 +80,9 @@ def rmat_edges(spark: SparkSession, args: RmatArgs, seed: int = 0, attempts: int
     made = rows.withColumn("e", one(F.lit(0)))
     # later attempts are worked out only for self-edges, one narrow step each
     redo = F.aggregate(F.sequence(F.lit(1), F.lit(attempts)), F.col("e"), lambda s, t: F.when(s["src"] == s["dst"], one(t)).otherwise(s))
-    return made.select("edge", F.when(F.col("e.src") == F.col("e.dst"), redo).otherwise(F.col("e")).alias("e")).select("e.src", "e.dst").filter("src != dst")
+    found = made.select("edge", F.when(F.col("e.src") == F.col("e.dst"), redo).otherwise(F.col("e")).alias("e")).select("edge", "e.src", "e.dst")
+    other = F.pmod(F.col("src") + 1 + F.pmod(F.xxhash64(F.lit(seed), F.col("edge"), F.lit(-1)), F.lit((1 << levels) - 1)), F.lit(1 << levels))
+    return found.select("src", F.when(F.col("src") == F.col("dst"), other).otherwise(F.col("dst")).alias("dst"))
 
 
 def rmat_dataset(spark: SparkSession, args: RmatArgs, seed: int = 0) -> DataFrame:
