@@ -38,7 +38,7 @@ def test_hand_graphs(spark, name):
     assert found.num_triangles == tri and (two is None or found.num_twopaths == two)
     assert tuple(triangles.check(g).first()) == tuple(found)
     labels = components.component_labels(g.vertices, g.edges)
-    slow, _ = components.connected_components(g.vertices, g.adj)
+    slow, _ = components.connected_components(g)
     assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, slow.collect()))
     assert labels.select("component").distinct().count() == comps
     assert not any(components.check(labels, g.adj).first()) and not any(g.check().first())
@@ -56,10 +56,10 @@ def test_truss_of_k4_with_pendant(spark):
 
 
 def test_sf0001_goldens(spark):
-    g = copurchase(spark, SF)
+    g = copurchase(spark, SF, 40)
     assert (g.num_vertices, g.num_edges) == (200, 589)
     assert tuple(triangles.summary(g).first()) == (226, 1239)
-    assert components.connected_components(g.vertices, g.adj)[1] == 4
+    assert components.connected_components(g)[1] == 4
     k = KTruss(g)
     assert (k.max_k, k.num_iters, k.edges_per_truss) == (5, 10, [589, 414, 154, 50])
     assert [r.vertices for r in k.summary().orderBy("k").collect()] == [190, 165, 72, 25]
@@ -69,7 +69,10 @@ def test_sf0001_goldens(spark):
     assert (r.num_iters, r.supersteps) == (18, 19) and r.residual() < 1e-5
     assert r.scores.agg(F.sum("score")).first()[0] == pytest.approx(0.9575)
     searches = {s: BFS(g, LCG()() % 200, s) for s in STRATEGIES}
-    assert searches["beamer_hybrid"].trace == [("TD", 7, 55), ("TD", 33, 226), ("BU", 91, searches["beamer_hybrid"].trace[2][2]), ("BU", 51, searches["beamer_hybrid"].trace[3][2]), ("BU", 7, searches["beamer_hybrid"].trace[4][2]), ("TD", 0, 0)]
+    # Degrees' sums of the bottom-up levels: counted here from the levels.
+    ends = {r.depth: r.ends for r in searches["migrating_threads"].levels.groupBy("depth").agg(F.sum("degree").alias("ends")).collect()}
+    assert searches["beamer_hybrid"].trace == [("TD", 7, 55), ("TD", 33, 226), ("BU", 91, ends[3]), ("BU", 51, ends[4]), ("BU", 7, ends[5]), ("TD", 0, 0)]
+    assert (ends[1], ends[2]) == (55, 226) and sum(ends.values()) == 2 * 589
     results = [sorted(map(tuple, b.result().collect())) for b in searches.values()]
     assert all(x == results[0] for x in results)
     for b in searches.values():
@@ -105,6 +108,11 @@ def test_empty_graph(spark):
     assert triangles.summary(g).first().num_triangles == 0
     assert components.component_labels(g.vertices, g.edges).count() == 3
     assert PageRank(g).scores.count() == 3
+    assert components.connected_components(g)[0].count() == 3 and BFS(g, 1).traversed_edges() == 0
+    for limit in (4, 1 << 40):
+        k = KTruss(g, limit)
+        assert (k.max_k, k.edges_per_truss, k.num_iters, k.edges.count()) == (2, [0], 0, 0)
+        assert [tuple(r) for r in k.summary().collect()] == [(2, 0, 0)] and not any(k.check().first())
 
 
 def test_preparation(spark):
@@ -126,7 +134,40 @@ def test_graph_accessors(spark):
     assert g.edge_exists(spark.createDataFrame([(4, 3), (4, 0)], "src long, dst long")).count() == 1
     assert g.remove_edges(spark.createDataFrame([(4, 3)], "src long, dst long")).num_edges == 6
     assert g.insert_edges(spark.createDataFrame([(0, 4)], "src long, dst long")).num_edges == 8
-    assert {r.nodelet: r.share for r in g.edge_distribution(2).collect()} == {0: pytest.approx(7 / 14), 1: pytest.approx(7 / 14)}
+    assert {r.place: r.share for r in g.edge_distribution(2).collect()} == {0: pytest.approx(7 / 14), 1: pytest.approx(7 / 14)}
+
+
+@pytest.mark.parametrize("hub", [1, 6, 30])
+def test_hubs_are_kept_beside_the_buckets(spark, hub):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(150)} | {(0, v) for v in range(1, 40)})
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    g, plain = Graph(edges, 40, hub=hub), Graph(edges, 40)
+    assert g.hubs.filter(f"id < 0 or id > 39").count() == 0 and plain.hubs is None
+    both = sorted((r.src, r.dst) for r in g.adj.collect())
+    assert both == sorted([*pairs, *[(b, a) for a, b in pairs]])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(g.aggregate_messages(g.degrees, F.col("degree"), F.sum)) == rows(plain.aggregate_messages(plain.degrees, F.col("degree"), F.sum))
+    assert rows(BFS(g, 5).result()) == rows(BFS(plain, 5).result())
+    assert rows(components.connected_components(g)[0]) == rows(components.connected_components(plain)[0])
+
+
+def test_joins_leave_the_adjacency_in_place(spark):
+    g = graph(spark, 5, HAND["K4+pendant"][1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = g.along(g.degrees)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_maps_and_scores(spark):
+    g = graph(spark, 4, [(0, 1), (1, 2)])
+    assert {(r.id, r.twice) for r in g.map_vertices(twice=2 * F.col("degree")).collect()} == {(0, 2), (1, 4), (2, 2), (3, 0)}
+    assert {(r.src, r.total) for r in g.map_edges(total=F.col("src") + F.col("dst")).collect()} == {(0, 1), (1, 3)}
+    assert PageRank(g, 1).score(3) == pytest.approx(0.15 / 4)
+    assert BFS(g, 0).frontier_sizes(2).count() == 3
 
 
 def test_lcg_and_statistics(spark):

@@ -25,7 +25,7 @@ class BFS:
             raise ValueError(f"strategy must be one of {STRATEGIES}")
         if not 0 <= source < graph.num_vertices:
             raise ValueError("source is not a vertex")
-        self.graph, self.source, self.trace, self.depth = graph, source, [], 0
+        self.graph, self.source, self.trace, self.depth, self.sizes = graph, source, [], 0, []
         self.path = f"{shared_dir(graph.spark)}/weft-bfs-{uuid.uuid4().hex}"
         first = graph.degrees.filter(F.col("id") == source).select("id", F.col("id").alias("parent"), "degree")
         scout = self._put(first)[1]
@@ -37,6 +37,7 @@ class BFS:
             level.select("id", "parent", "degree").write.parquet(f"{self.path}/depth={self.depth}")
         size, scout = self._level(self.depth).agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
         self.depth += 1
+        self.sizes.append(size)
         return size, scout
 
     def _level(self, depth: int) -> DataFrame:
@@ -49,22 +50,25 @@ class BFS:
     def _with_degree(self, found: DataFrame) -> DataFrame:
         return found.join(self.graph.degrees, "id")
 
+    def _frontier_edges(self) -> DataFrame:
+        """(id, src): neighbours of the frontier, and where they were met."""
+        return self.graph.around(self._level(self.depth - 1), self.sizes[-1]).select(F.col("dst").alias("id"), "src")
+
     def top_down(self) -> DataFrame:
         """Frontier edges to unvisited vertices first, then one parent each."""
-        edges = self._level(self.depth - 1).select(F.col("id").alias("src")).join(self.graph.adj, "src").select(F.col("dst").alias("id"), "src")
+        edges = self._frontier_edges()
         return self._with_degree(edges.join(self.levels.select("id"), "id", "left_anti").groupBy("id").agg(F.min("src").alias("parent")))
 
     def top_down_writes(self) -> DataFrame:
         """One parent for every neighbour of the frontier first, then the unvisited ones of them."""
-        edges = self._level(self.depth - 1).select(F.col("id").alias("src")).join(self.graph.adj, "src").select(F.col("dst").alias("id"), "src")
+        edges = self._frontier_edges()
         return self._with_degree(edges.groupBy("id").agg(F.min("src").alias("parent")).join(self.levels.select("id"), "id", "left_anti"))
 
     def bottom_up(self) -> DataFrame:
         """Unvisited vertices look for a neighbour in the frontier."""
         asleep = self.graph.degrees.filter("degree > 0").join(self.levels.select("id"), "id", "left_anti")
-        frontier = self._level(self.depth - 1).select(F.col("id").alias("dst"))
-        edges = self.graph.adj.join(frontier, "dst").select(F.col("src").alias("id"), F.col("dst").alias("up"))
-        return asleep.join(edges.groupBy("id").agg(F.min("up").alias("parent")), "id").select("id", "parent", "degree")
+        awake = self._frontier_edges().groupBy("id").agg(F.min("src").alias("parent"))
+        return asleep.join(awake, "id").select("id", "parent", "degree")
 
     def _plain(self, strategy: str, scout: int, alpha: int, beta: int) -> None:
         step = self.top_down if strategy == "migrating_threads" else self.top_down_writes
@@ -90,6 +94,14 @@ class BFS:
                 size, scout = self._put(self.top_down())
                 self.trace.append(("TD", size, scout))
 
+    def frontier(self, nodelets: int = 1) -> DataFrame:
+        """(depth, nodelet, id): what the queue held at each level, by nodelet (id mod nodelets)."""
+        return self.levels.select("depth", F.pmod("id", F.lit(nodelets)).alias("nodelet"), "id")
+
+    def frontier_sizes(self, nodelets: int = 1) -> DataFrame:
+        """(depth, nodelet, size) of the queue at each level; nodelets without a vertex of the level are left out."""
+        return self.frontier(nodelets).groupBy("depth", "nodelet").agg(F.count(F.lit(1)).alias("size"))
+
     def result(self) -> DataFrame:
         """(id, depth, parent) of every vertex; -1 where not reached."""
         found = self.levels.select(F.col("id").alias("v"), "depth", "parent")

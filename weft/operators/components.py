@@ -12,34 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.storage import stored
+from weft.functions.storage import discard, stored
+from weft.operators.graph import Graph
 
 
 def _moved(df: DataFrame) -> int:
     return df.filter("moved").limit(1).count()
 
 
-def propagate(labels: DataFrame, adj: DataFrame) -> tuple[DataFrame, bool]:
-    """One iteration over labels (id, component) and adjacency (src, dst) in both directions."""
-    best = adj.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("best"))
-    step = labels.join(best, F.col("id") == F.col("src"), "left").select("id", F.least("component", F.coalesce("best", "component")).alias("component"), (F.coalesce("best", "component") < F.col("component")).alias("moved"))
+def propagate(labels: DataFrame, graph: Graph) -> tuple[DataFrame, bool]:
+    """One iteration over labels (id, component) of a graph's vertices."""
+    best = graph.along(labels).groupBy(F.col("dst").alias("to")).agg(F.min("component").alias("best"))
+    step = labels.join(best, F.col("id") == F.col("to"), "left").select("id", F.least("component", F.coalesce("best", "component")).alias("component"), (F.coalesce("best", "component") < F.col("component")).alias("moved"))
     step = stored(step, "labels")
     if not _moved(step):
-        return step.drop("moved"), False
+        return step, False
     while True:
-        to = step.select(F.col("id").alias("of"), F.col("component").alias("next"))
+        before, to = step, step.select(F.col("id").alias("of"), F.col("component").alias("next"))
         step = stored(step.join(to, F.col("component") == F.col("of")).select("id", F.col("next").alias("component"), (F.col("next") != F.col("component")).alias("moved")), "jumped")
+        discard(before)
         if not _moved(step):
-            return step.drop("moved"), True
+            return step, True
 
 
-def connected_components(vertices: DataFrame, adj: DataFrame) -> tuple[DataFrame, int]:
-    """Labels (id, component) of vertices (id), and the number of iterations."""
-    labels, num_iters, moved = vertices.select("id", F.col("id").alias("component")), 0, True
+def connected_components(graph: Graph) -> tuple[DataFrame, int]:
+    """Labels (id, component) of a graph's vertices, and the number of iterations."""
+    labels, num_iters, moved = graph.vertices.select("id", F.col("id").alias("component")), 0, True
     while moved:
-        labels, moved = propagate(labels, adj)
+        before = labels
+        labels, moved = propagate(labels.select("id", "component"), graph)
         num_iters += 1
-    return labels, num_iters
+        discard(before)
+    return labels.select("id", "component"), num_iters
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -67,7 +71,9 @@ def components_of_edges(edges: DataFrame) -> DataFrame:
     alone = edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
     mark = None
     while True:
+        before = pairs
         pairs = stored(_small_star(_large_star(pairs)), "stars")
+        discard(before)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
         if now == mark or not now[0]:
             break
