@@ -34,9 +34,9 @@ def compare(df, **options):
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("chunk_bytes", [4 << 20, 20_000])
-def test_table(spark, chunk_bytes):
-    compare(table(spark, "/root/testdata/sf0.001", "documents"), chunk_bytes=chunk_bytes)
+@pytest.mark.parametrize(("chunk_bytes", "hot_count"), [(4 << 20, 1024), (20_000, 1024), (20_000, 3)])
+def test_table(spark, chunk_bytes, hot_count):
+    compare(table(spark, "/root/testdata/sf0.001", "documents"), chunk_bytes=chunk_bytes, hot_count=hot_count)
 
 
 def test_made_texts(spark, docs):
@@ -45,6 +45,7 @@ def test_made_texts(spark, docs):
     rows = [(rng.randrange(200), " ".join(rng.choice(piece) for _ in range(rng.randrange(5)))) for _ in range(80)]
     rows += [(None, piece[0] + " x " + piece[1]), (None, None), (3, ""), (4, " \n "), (5, "w " * 34), (6, "v " * 35), (7, "u " * 36), (8, "t " * 5000), (9, piece[1] * 50), (9, piece[1] * 50), (10, " ".join(map(str, range(40)))), (11, " ".join(map(str, range(36))))]
     compare(docs(rows).withColumn("n_words", F.lit("own")), chunk_bytes=2_000)
+    compare(docs(rows), chunk_bytes=2_000, hot_count=3)
 
 
 def test_empty_table(spark, docs):

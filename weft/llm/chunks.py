@@ -5,12 +5,16 @@ to the shared folder, so their numbers stay fixed whatever is recomputed later,
 chunk at a time. A chunk answers for itself first (equal hashes, equal strings), so a very common
 line, word or passage reaches its bucket once per chunk, not once per occurrence.
 
-Hashes go to buckets by their leading bits. A chunk sends a bucket the sorted next 40 bits of its
-distinct hashes, and the bucket returns one or two bits for each, in the same order.
+Hashes go to buckets by their leading bits, about one bucket to a shuffle partition, so a chunk sends as many
+rows however large the table is. It sends a bucket the sorted next 40 bits of its distinct hashes, and the bucket
+returns a bit or more for each, in the same order. Minimisers are scrambled before they are dealt: being the
+smallest of many hashes, they would crowd into the first buckets. A bucket is worked on in slices, so
+that the memory beside what arrived does not grow with it.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -27,6 +31,42 @@ from weft.llm.common import stored
 
 CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
+#: Hashes that a bucket counts together.
+SLICE_HASHES = 1 << 19
+#: A minimiser with a count above this (a chunk counts two if it has it twice) is hot: its windows are followed one by one.
+HOT_COUNT = 1024
+SPREAD = np.uint64(0xA0761D6478BD642F)
+_LIBC: list = []
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers live on, and keep it otherwise."""
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):
+            _LIBC.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
+    _LIBC[0](0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function of a group, or of a key and two groups, that leaves no free memory behind."""
+
+    def of_group(group: pa.Table) -> pa.Table:
+        try:
+            return function(group)
+        finally:
+            release()
+
+    def of_pair(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(key, left, right)
+        finally:
+            release()
+
+    return of_group if function.__code__.co_argcount == 1 else of_pair
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -34,11 +74,11 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     head = [np.array([len(arrays)], "<i4").tobytes()]
     for a in arrays:
         head.append(f"{a.dtype.str:<4}".encode() + np.array([a.nbytes], "<i8").tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + [np.ascontiguousarray(a).data for a in arrays if a.nbytes]))
+    return _PACK.compress(b"".join(head + [np.ascontiguousarray(a).data for a in arrays if a.nbytes]))
 
 
 def expand(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _UNPACK.decompress(blob)
     n, out = int(np.frombuffer(raw, "<i4", 1)[0]), []
     at = 4 + 12 * n
     for k in range(n):
@@ -175,7 +215,7 @@ def runs(hashes: np.ndarray, offs: np.ndarray, window: int, k: int) -> tuple[np.
     start = np.flatnonzero(change)
     limit = last[np.searchsorted(first, start, "right") - 1]
     end = np.minimum(np.append(start[1:], total), limit)
-    return start, end - start, least[start]
+    return start, end - start, mixed(least[start])
 
 
 def minimiser_places(hashes: np.ndarray, offs: np.ndarray, window: int, k: int) -> np.ndarray:
@@ -193,10 +233,9 @@ def minimiser_places(hashes: np.ndarray, offs: np.ndarray, window: int, k: int)
     return np.flatnonzero(~sliding_min(np.concatenate([pad, least, pad]), width) == hashes)
 
 
-def bucket_bits(chunks: DataFrame, per_bucket: int = CHUNK_BYTES) -> int:
-    """log2 of the number of buckets: about one for each `per_bucket` bytes of text."""
-    total = chunks.agg(F.sum("size")).first()[0] or 0
-    return max(0, min(24, math.ceil(math.log2(max(1, total / per_bucket)))))
+def bucket_bits(chunks: DataFrame) -> int:
+    """log2 of the number of buckets: about one to a shuffle partition, at any size of the table."""
+    return min(24, math.ceil(math.log2(max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
 
 
 def cut(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,46 +256,100 @@ def hash_rows(chunk: int, values: np.ndarray, twice: np.ndarray, bits: int) -> p
 
 
 HASH_ROWS = "bucket long, chunk long, n long, data binary"
+HASH_ARROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 BIT_ROWS = "chunk long, bucket long, n long, data binary"
-
-
-def _counts(group: pa.Table) -> tuple[list[int], np.ndarray]:
-    """Sizes of the rows, and for each hash in them how many chunks have it (two for a chunk that has it twice)."""
-    sizes, low, own = group.column("n").to_pylist(), [], []
-    for n, data in zip(sizes, group.column("data").to_pylist(), strict=True):
-        flags = (n + 7) // 8
-        own.append(np.unpackbits(np.frombuffer(data, np.uint8, flags), count=n))
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(data, np.uint8, offset=flags).reshape(n, 5)
-        low.append(wide.view("<u8")[:, 0])
-    values = np.concatenate(low)
-    order = np.argsort(values)
-    ranked = values[order]
-    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    total = np.add.reduceat(1 + np.concatenate(own)[order].astype(np.int64), at)
-    counts = np.empty(len(values), np.int64)
-    counts[order] = np.repeat(total, np.diff(np.append(at, len(values))))
+COUNT_ROWS = BIT_ROWS + ", entries long, lists double, most long"
+
+
+def _counts(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the rows, and for each hash in them how many chunks have it (two for a chunk that has it twice; 65535 stands for more)."""
+    sizes = group.column("n").to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    values, own = np.zeros(ends[-1], np.uint64), np.empty(ends[-1], np.uint8)
+    wide = values.view(np.uint8).reshape(-1, 8)
+    for n, end, data in zip(sizes.tolist(), ends.tolist(), group.column("data"), strict=True):
+        raw, flags = data.as_buffer(), (n + 7) // 8
+        own[end - n : end] = np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=n)
+        wide[end - n : end, :5] = np.frombuffer(raw, np.uint8, offset=flags).reshape(n, 5)
+    counts = np.empty(len(values), np.uint16)
+    bits = max(0, math.ceil(math.log2(max(1, len(values) / SLICE_HASHES))))
+    slices = (values >> np.uint64(40 - bits)).astype(np.uint16) if bits else None
+    for k in range(1 << bits):
+        where = np.flatnonzero(slices == k) if bits else np.arange(len(values))
+        if len(where):
+            mine = values[where]
+            order = np.argsort(mine)
+            ranked = mine[order]
+            at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            total = np.minimum(np.add.reduceat(1 + own[where][order].astype(np.int64), at), 65535).astype(np.uint16)
+            counts[where[order]] = np.repeat(total, np.diff(np.append(at, len(mine))))
     return sizes, counts
 
 
 def answer_rows(classes: tuple[int, ...]) -> Callable[[pa.Table], pa.Table]:
-    """For each hash of a bucket, bit by bit, whether its count exceeds each of `classes`."""
+    """For each hash of a bucket, bit by bit, whether its count exceeds each of `classes`; and with the first row, how many
+    entries those above the first class have in the bucket, how many distinct ones there are, about, and the largest count."""
 
+    @tidy
     def answer(group: pa.Table) -> pa.Table:
         sizes, counts = _counts(group)
         out, at = [], 0
-        for n in sizes:
+        for n in sizes.tolist():
             mine = counts[at : at + n]
             out.append(b"".join(np.packbits(mine > c).tobytes() for c in classes))
             at += n
-        return pa.table({"chunk": group.column("chunk").cast(pa.int64()), "bucket": group.column("bucket").cast(pa.int64()), "n": pa.array(sizes, pa.int64()), "data": pa.array(out, pa.binary())})
+        shared = counts[counts > classes[0]]
+        entries, lists, most = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float64), np.zeros(len(sizes), np.int64)
+        entries[0], lists[0], most[0] = len(shared), (1.0 / np.maximum(shared, 1)).sum(), counts.max(initial=0)
+        return pa.table({"chunk": group.column("chunk").cast(pa.int64()), "bucket": group.column("bucket").cast(pa.int64()), "n": pa.array(sizes), "data": pa.array(out, pa.binary()), "entries": entries, "lists": lists, "most": most})
 
     return answer
 
 
 def answer(hashes: DataFrame, classes: tuple[int, ...] = (1,)) -> DataFrame:
-    """Answers (chunk, bucket, n, data) to rows of `hash_rows`, stored."""
-    return stored(hashes.groupBy("bucket").applyInArrow(answer_rows(classes), BIT_ROWS), "bits")
+    """Answers (chunk, bucket, n, data, entries, lists, most) to rows of `hash_rows`, stored."""
+    return stored(hashes.groupBy("bucket").applyInArrow(answer_rows(classes), COUNT_ROWS), "bits")
+
+
+def known_repeats(chunks: DataFrame, hashes: Callable, hot_hashes: Callable, hot_count: int) -> DataFrame:
+    """What chunks get to know (chunk, bucket, n, data, kind): of kind 0, which of their minimisers are repeated or hot; and,
+    if any is hot, of kind 2, which windows of hot minimisers are repeated, by hashes of the whole windows."""
+    answers = answer(chunks.mapInArrow(hashes, HASH_ROWS), (1, hot_count))
+    known = answers.select("chunk", "bucket", "n", "data", F.lit(0).alias("kind"))
+    if (answers.agg(F.max("most")).first()[0] or 0) <= hot_count:
+        return known
+    windows = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(hot_hashes, HASH_ROWS)
+    return known.unionAll(answer(windows).select("chunk", "bucket", "n", "data", F.lit(2).alias("kind")))
+
+
+def bit_rows(info: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
+    """The rows (bucket, n, data) of one kind, by bucket."""
+    mine = info.filter(pc.equal(info.column("kind"), kind))
+    return sorted(zip(mine.column("bucket").to_pylist(), mine.column("n").to_pylist(), mine.column("data").to_pylist(), strict=True))
+
+
+def opened(start: np.ndarray, n: np.ndarray, least: np.ndarray, info: pa.Table, window_hashes: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs (start, windows, minimiser), those that may repeat: whole ones, and of hot ones each window that does, under its own hash; by hash."""
+    values, where = np.unique(least, return_inverse=True)
+    kind = read_bits(bit_rows(info, 0), 2)[where] if len(values) else np.zeros(0, np.uint8)
+    one, places = kind == 1, ragged(start[kind > 1], n[kind > 1])
+    alone = np.zeros(0, np.uint64)
+    if len(places):
+        places = np.sort(places)
+        alone = window_hashes(places)
+        values, where = np.unique(alone, return_inverse=True)
+        again = read_bits(bit_rows(info, 2))[where] > 0
+        places, alone = places[again], alone[again]
+    start, n, least = np.concatenate([start[one], places]), np.concatenate([n[one], np.ones(len(places), np.int64)]), np.concatenate([least[one], alone])
+    order = np.argsort(least, kind="stable")
+    return start[order], n[order], least[order]
+
+
+def hot_places(start: np.ndarray, n: np.ndarray, least: np.ndarray, info: pa.Table) -> np.ndarray:
+    """Starts of the windows of hot runs, ascending."""
+    values, where = np.unique(least, return_inverse=True)
+    hot = read_bits(bit_rows(info, 0), 2)[where] > 1 if len(values) else np.zeros(0, bool)
+    return np.sort(ragged(start[hot], n[hot]))
 
 
 def read_bits(rows: list[tuple[int, int, bytes]], classes: int = 1) -> np.ndarray:
@@ -281,7 +374,7 @@ def refine(pointers: np.ndarray, shift: int) -> None:
     if not len(open_):
         return
     key = pointers[open_] * n + pointers[open_ + shift]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     old = key // n
     place = np.arange(len(key))
@@ -294,7 +387,7 @@ def refine(pointers: np.ndarray, shift: int) -> None:
 
 def first_pointers(values: np.ndarray) -> np.ndarray:
     """Bucket pointers of single values."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ranked = values[order]
     place = np.arange(len(values))
     out = np.empty(len(values), np.int64)
@@ -302,27 +395,21 @@ def first_pointers(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_minimisers(heads: np.ndarray, k: int) -> np.ndarray:
-    """The minimiser of each row of units (one window of a string, as the minimiser is the same in all)."""
-    n, width = heads.shape
-    if not n:
-        return np.zeros(0, np.uint64)
-    hashes = grams(heads.ravel(), k)
-    return hashes[np.arange(n)[:, None] * width + np.arange(width - k + 1)].min(axis=1)
+def slice_keys(values: np.ndarray, bits: int) -> np.ndarray:
+    """The next 16 bits of sorted hashes after those of their bucket; equal hashes have equal keys."""
+    return ((values >> np.uint64(48 - bits)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def groups_of(keys: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Places of equal keys together, in slices of about `limit` units; keys that occur once are left out."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(at, len(keys)))
-    order, at = order[np.repeat(counts > 1, counts)], np.append(0, np.cumsum(counts[counts > 1]))
-    units = np.append(0, np.cumsum(sizes[order]))[at]
+def slices_of(keys: list[np.ndarray], loads: list[np.ndarray], limit: int) -> Iterator[list[tuple[int, int]]]:
+    """Cut a bucket's rows, each sorted by key, at the same keys: slices of about `limit` load, or one key; a range of each row."""
+    total = np.zeros(1 << 16, np.int64)
+    for key, load in zip(keys, loads, strict=True):
+        np.add.at(total, key, load)
+    ends = np.cumsum(total)
     a = 0
-    while a < len(at) - 1:
-        b = max(a + 1, int(np.searchsorted(units, units[a] + limit, "right")) - 1)
-        yield order[at[a] : at[b]]
+    while a < len(total) and (done := int(ends[a - 1]) if a else 0) < ends[-1]:
+        b = max(a + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield [(int(np.searchsorted(key, a)), int(np.searchsorted(key, b - 1, "right"))) for key in keys]
         a = b
 
 
@@ -330,3 +417,15 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """starts[i] .. starts[i] + lens[i] - 1 for all i, end to end."""
     ends = np.cumsum(lens)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
+
+
+def gather(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """data[starts[i] : starts[i] + lens[i]] for all i, end to end; places are worked out for about `block` units at a time."""
+    ends = np.cumsum(lens)
+    out, a = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype), 0
+    while a < len(lens):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + block, "right")))
+        out[done : int(ends[b - 1])] = data[ragged(starts[a:b], lens[a:b])]
+        a = b
+    return out

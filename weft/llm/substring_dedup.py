@@ -10,11 +10,16 @@ of all strings are sorted and counted exactly, word by word:
    anywhere cannot have a repeat, so their strings stay at home.
 3. The remaining strings travel once per chunk with the number of times that the chunk has them. The bucket
    numbers distinct words, sorts windows by doubling (1, 2, 4, 8, 16, then 3 words on) and adds up equal ones.
-4. Chunks get back, for each string, the runs of windows that occur twice or more.
+4. Chunks get back, for each string, which of its windows occur twice or more.
+
+A minimiser with a count above `hot_count` is not followed, as its bucket would get all surroundings of a common
+passage: hashes of its runs' whole windows are counted in the same way, and windows that do repeat travel
+alone, each to the bucket of its hash. Buckets are worked on in slices of minimisers.
 
 Defined cases. Null text has no words: nothing removed, the digest of nothing. Fewer words than a window: nothing
 removed. Repeated rows are repeats of one another whatever their ids; null ids are ids like any other. Only
 the id and text columns are read.
+Ids are whole numbers; ids of another type that do not read as such are an error.
 """
 
 from __future__ import annotations
@@ -24,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +77,10 @@ def chunk_runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return C.runs(C.grams(w.hashes, GRAM), w.offs, WINDOW, GRAM)
 
 
+def window_hashes(w: Words, places: np.ndarray) -> np.ndarray:
+    return C.mixed(C.grams(w.hashes, WINDOW)[places] ^ C.SPREAD)
+
+
 def _hashes(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,29 +89,41 @@ def _hashes(bits: int):
                 w = Words(chunk)
                 hashes = C.grams(w.hashes, GRAM)
                 places = C.minimiser_places(hashes, w.offs, WINDOW, GRAM)
-                values, where, counts = np.unique(hashes[places], return_inverse=True, return_counts=True)
+                values, where, counts = np.unique(C.mixed(hashes[places]), return_inverse=True, return_counts=True)
                 twice = counts > 1
                 twice[where[chunk.weights[np.searchsorted(w.offs, places, "right") - 1] > 1]] = True
                 yield C.hash_rows(number, values, twice, bits)
+                C.release()
+
+    return send
+
+
+def _hot_hashes(bits: int):
+    @C.tidy
+    def send(key, chunk: pa.Table, info: pa.Table) -> pa.Table:
+        if not chunk.num_rows or not info.num_rows:
+            return C.HASH_ARROW.empty_table()
+        c = C.Chunk(chunk.column("blob")[0].as_py())
+        w = Words(c)
+        places = C.hot_places(*chunk_runs(w), info)
+        values, where, counts = np.unique(window_hashes(w, places), return_inverse=True, return_counts=True)
+        twice = counts > 1
+        twice[where[c.weights[np.searchsorted(w.offs, places, "right") - 1] > 1]] = True
+        return pa.Table.from_batches([C.hash_rows(key[0].as_py(), values, twice, bits)])
 
     return send
 
 
 class Strings:
-    """A chunk's distinct super-k-mers whose minimisers occur twice, in order of minimiser, with their numbers."""
+    """A chunk's distinct super-k-mers whose minimisers occur twice, in order of minimiser (of window hash, if it is hot), with their numbers."""
 
-    def __init__(self, blob: bytes, bit_rows: list):
+    def __init__(self, blob: bytes, info: pa.Table):
         self.chunk = chunk = C.Chunk(blob)
         self.words = w = Words(chunk)
-        start, n, least = chunk_runs(w)
-        values, where = np.unique(least, return_inverse=True)
-        open_ = C.read_bits(bit_rows)[where] > 0 if len(values) else np.zeros(0, bool)
-        start, n, least = start[open_], n[open_], least[open_]
-        order = np.argsort(least, kind="stable")
-        self.start, self.n, least = start[order], n[order], least[order]
+        self.start, self.n, least = C.opened(*chunk_runs(w), info, lambda places: window_hashes(w, places))
         # A string is known by its words' codes in this chunk; the words themselves are packed when it is sent.
-        body = w.code.astype("<i4").tobytes()
-        coded = pa.array([body[4 * a : 4 * b] for a, b in zip(self.start.tolist(), (self.start + self.n + WINDOW - 1).tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        lens = self.n + WINDOW - 1
+        coded = C.binary_array(4 * lens, C.gather(w.code.astype("<i4"), self.start, lens).view(np.uint8)).dictionary_encode()
         self.string = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         seen = np.unique(self.string, return_index=True)[1]
         self.first, self.least, self.windows = self.start[seen], least[seen], self.n[seen]
@@ -115,84 +135,89 @@ class Strings:
         w = self.words
         which = C.ragged(self.first[a:b], self.windows[a:b] + WINDOW - 1)
         lens = w.end[which] - w.start[which]
-        return [self.count[a:b], (self.windows[a:b] + WINDOW - 1).astype(np.int32), lens.astype(np.int32), w.data[C.ragged(w.start[which], lens)]]
-
-
-def bit_rows(info: pa.Table, kind: int) -> list:
-    mine = info.filter(pc.equal(info.column("kind"), kind))
-    return sorted(zip(mine.column("bucket").to_pylist(), mine.column("n").to_pylist(), mine.column("data").to_pylist(), strict=True))
+        return [self.count[a:b], (self.windows[a:b] + WINDOW - 1).astype(np.int32), lens.astype(np.int32), C.gather(w.data, w.start[which], lens)]
 
 
 def _send_strings(bits: int):
+    @C.tidy
     def send(key, chunk: pa.Table, info: pa.Table) -> pa.Table:
         rows = {"bucket": [], "chunk": [], "data": []}
         if chunk.num_rows and info.num_rows:
-            s = Strings(chunk.column("blob")[0].as_py(), bit_rows(info, 0))
+            s = Strings(chunk.column("blob")[0].as_py(), info)
             buckets, at = C.cut(s.least, bits)
+            keys = C.slice_keys(s.least, bits)
             for bucket, a, b in zip(buckets.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 rows["bucket"].append(bucket)
                 rows["chunk"].append(key[0].as_py())
-                rows["data"].append(C.squeeze(*s.packed(a, b)))
+                rows["data"].append(C.squeeze(np.diff(keys[a:b], prepend=np.uint16(0)), *s.packed(a, b)))
         return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())]))
 
     return send
 
 
-def repeated_windows(lens: np.ndarray, codes: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def repeated_windows(lens: np.ndarray, codes: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Whether each window of the strings (words `codes`, end to end) occurs twice or more, strings counting `count` times."""
     windows = lens - (WINDOW - 1)
-    starts, place = np.cumsum(lens) - lens, np.cumsum(windows) - windows
-    out = np.repeat(count > 1, windows)
-    least = C.first_minimisers(hashes[codes[starts[:, None] + np.arange(WINDOW)]], GRAM) if len(lens) else np.zeros(0, np.uint64)
-    # Each key is given twice, so that a string alone with its minimiser, which may repeat a window itself, is not left out.
-    for mine in C.groups_of(np.concatenate([least, least]), np.concatenate([lens, lens]), SLICE_WORDS):
-        mine = mine[mine < len(lens)]
-        pointers = C.first_pointers(np.concatenate([codes[C.ragged(starts[mine], lens[mine])], np.full(WINDOW, -1)]))
-        for shift in (1, 2, 4, 8, 16, 3):
-            C.refine(pointers, shift)
-        pointers = pointers[C.ragged(np.cumsum(lens[mine]) - lens[mine], windows[mine])]
-        total = np.bincount(pointers, np.repeat(count[mine], windows[mine]))
-        out[C.ragged(place[mine], windows[mine])] = total[pointers] > 1
-    return out
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """Per chunk, for each of its strings in order: runs of windows (alternately once and repeated, starting with once)."""
-    parts = [C.expand(x) for x in group.column("data").to_pylist()]
-    lens = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    coded = C.binary_array(np.concatenate([p[2] for p in parts]).astype(np.int64), np.concatenate([p[3] for p in parts])).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
-    body, ends = codes.astype("<i4").tobytes(), np.cumsum(lens)
-    strings = pa.array([body[4 * a : 4 * b] for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+    pointers = C.first_pointers(np.concatenate([codes, np.full(WINDOW, -1)]))
+    for shift in (1, 2, 4, 8, 16, 3):
+        C.refine(pointers, shift)
+    pointers = pointers[C.ragged(np.cumsum(lens) - lens, windows)]
+    return np.bincount(pointers, np.repeat(count, windows))[pointers] > 1
+
+
+def _twice(count: np.ndarray, lens: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings of words (sizes, data), end to end: their windows' numbers, and whether each window occurs twice or more."""
+    coded = C.binary_array(sizes, data).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
+    starts = np.cumsum(lens) - lens
+    strings = C.binary_array(4 * lens, codes.view(np.uint8)).dictionary_encode()
     string = strings.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     seen = np.unique(string, return_index=True)[1]
-    count = np.bincount(string, np.concatenate([p[0] for p in parts]), len(seen))
-    twice = repeated_windows(lens[seen], codes[C.ragged((ends - lens)[seen], lens[seen])], count, hashes)
+    twice = repeated_windows(lens[seen], C.gather(codes, starts[seen], lens[seen]).astype(np.int64), np.bincount(string, count, len(seen)))
     windows = lens[seen] - (WINDOW - 1)
     begin = np.cumsum(windows) - windows
-    out, at = [], 0
-    for p in parts:
-        mine = string[at : at + len(p[0])]
-        at += len(mine)
-        out.append(C.squeeze(np.packbits(twice[C.ragged(begin[mine], windows[mine])])))
-    return pa.table({"chunk": group.column("chunk").cast(pa.int64()), "bucket": group.column("bucket").cast(pa.int64()), "n": pa.array([len(p[0]) for p in parts], pa.int64()), "data": pa.array(out, pa.binary())})
+    return windows[string], twice[C.ragged(begin[string], windows[string])]
 
 
+@C.tidy
+def _answer(group: pa.Table) -> pa.Table:
+    """Per chunk that has any repeated window: a bit for each window of its strings, in order."""
+    keys, count, lens, sizes, body = (list(x) for x in zip(*(C.expand(x) for x in group.column("data").to_pylist()), strict=True))
+    keys = [np.cumsum(k, dtype=np.uint16) for k in keys]
+    offs = [np.append(0, np.cumsum(x, dtype=np.int64)) for x in lens]  # words before each string
+    at = [np.append(0, np.cumsum(x, dtype=np.int64)) for x in sizes]  # bytes before each word
+    found: list[list] = [[] for _ in keys]
+    for ranges in C.slices_of(keys, lens, SLICE_WORDS):
+        mine = [(r, a, b, offs[r][a], offs[r][b]) for r, (a, b) in enumerate(ranges) if b > a]
+        word = lambda x, mine=mine: np.concatenate([x[r][c:d] for r, _, _, c, d in mine])
+        string = lambda x, mine=mine: np.concatenate([x[r][a:b] for r, a, b, _, _ in mine])
+        data = np.concatenate([body[r][at[r][c] : at[r][d]] for r, _, _, c, d in mine])
+        windows, twice = _twice(string(count), string(lens).astype(np.int64), word(sizes).astype(np.int64), data)
+        ends, place = np.append(0, np.cumsum(windows)), 0
+        for r, a, b, _, _ in mine:
+            found[r].append(twice[ends[place] : ends[place + b - a]])
+            place += b - a
+    bits = [np.concatenate(x) for x in found]
+    some = [r for r, x in enumerate(bits) if x.any()]
+    pick = pa.array(some, pa.int64())
+    return pa.table({"chunk": group.column("chunk").take(pick).cast(pa.int64()), "bucket": group.column("bucket").take(pick).cast(pa.int64()), "n": pa.array([len(keys[r]) for r in some], pa.int64()), "data": pa.array([C.squeeze(np.packbits(bits[r])) for r in some], pa.binary())})
+
+
+@C.tidy
 def _cut(key, chunk: pa.Table, info: pa.Table) -> pa.Table:
     """A chunk's documents without their repeated words."""
     if not chunk.num_rows:
         return ARROW_ROWS.empty_table()
     blob = chunk.column("blob")[0].as_py()
     if info.num_rows:
-        s = Strings(blob, bit_rows(info, 0))
+        s = Strings(blob, info)
         c, w = s.chunk, s.words
-        twice, begin = [np.zeros(0, np.uint8)], 0
-        for _, n, data in bit_rows(info, 1):
-            twice.append(np.unpackbits(C.expand(data)[0], count=int(s.windows[begin : begin + n].sum())))
-            begin += n
-        twice = np.concatenate(twice).astype(bool)
         at = np.cumsum(s.windows) - s.windows
+        twice, bits = np.zeros(int(s.windows.sum()), bool), chunk.column("bits")[0].as_py()
+        first = dict(zip(*(x.tolist() for x in C.cut(s.least, bits)), strict=False))
+        for bucket, n, data in C.bit_rows(info, 1):
+            a, size = first[bucket], int(s.windows[first[bucket] : first[bucket] + n].sum())
+            twice[at[a] : at[a] + size] = np.unpackbits(C.expand(data)[0], count=size).view(bool)
         start = C.ragged(s.start, s.n)[twice[C.ragged(at[s.string], s.n)]]
         mark = np.zeros(len(w.start) + WINDOW, np.int32)
         mark[start] += 1
@@ -207,8 +232,7 @@ def _cut(key, chunk: pa.Table, info: pa.Table) -> pa.Table:
     kept = np.flatnonzero(~gone)
     lens = w.end[kept] - w.start[kept] + 1
     data = np.append(w.data, np.uint8(32))
-    flat = C.ragged(w.start[kept], lens)
-    joined = data[flat]
+    joined = C.gather(data, w.start[kept], lens)
     joined[np.cumsum(lens) - 1] = 32
     joined = joined.tobytes()
     size = np.bincount(doc[kept], lens, len(c.ids)).astype(np.int64)
@@ -217,14 +241,14 @@ def _cut(key, chunk: pa.Table, info: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(c.ids, pa.int64(), mask=~c.known), "n_words": np.diff(w.offs), "n_removed": removed, "kept_sha256": sha}, schema=ARROW_ROWS)
 
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES, hot_count: int = C.HOT_COUNT) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     firsts, copies = split_copies(rows, "id", "text", keep="min")
     chunks = C.pack(firsts, "id", "text", "__weft_size", chunk_bytes=chunk_bytes)
-    bits = C.bucket_bits(chunks, chunk_bytes)
-    chunks = chunks.select("chunk", "blob")
-    known = C.answer(chunks.mapInArrow(_hashes(bits), C.HASH_ROWS)).withColumn("kind", F.lit(0))
+    bits = C.bucket_bits(chunks)
+    chunks = chunks.select("chunk", "blob", F.lit(bits).alias("bits"))
+    known = C.known_repeats(chunks, _hashes(bits), _hot_hashes(bits), hot_count)
     grouped = chunks.groupBy("chunk")
     strings = grouped.cogroup(known.groupBy("chunk")).applyInArrow(_send_strings(bits), "bucket long, chunk long, data binary")
     told = strings.groupBy("bucket").applyInArrow(_answer, C.BIT_ROWS).withColumn("kind", F.lit(1))
