@@ -1,8 +1,11 @@
 """The similarity join against brute force: real texts, made sets around the threshold, forced blocks."""
 
+import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +85,52 @@ def test_large_component_in_blocks(spark, docs):
     compare(docs(variants(5, 1, 80) + variants(6, 6, 80) * 2 + [" ".join(f"c{(k + s) % 90}" for k in range(80)) for s in range(60)]), chunk_bytes=1_500, block_tokens=400)
 
 
+def test_repeated_ids_are_told_apart_by_text(spark, docs):
+    long, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    rows = docs([(5, long), (5, other), (7, long), (None, other), (None, other + " end"), (9, None), (9, "")])
+    want = compare(rows, chunk_bytes=60)
+    assert (7, 26, 5) in want and (5, 56, 5) in want
+    kept = jaccard_join.drop_near_duplicates(rows, chunk_bytes=60).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(5, long), (5, other)] and len(kept) == 4
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_one_of_each_component_stays(spark, docs, limit):
+    texts = variants(1, 12, 60) + ["", None, "a b"] + variants(2, 6, 12)
+    rows = [(random.Random(i).choice([i, i, 3, None]), t) for i, t in enumerate(texts)] + [(40, texts[0]), (40, texts[0])]
+    df = docs(rows).withColumn("label", F.lit("own")).withColumn("sha", F.lit(1))
+    kept = jaccard_join.drop_near_duplicates(df, chunk_bytes=1_500, broadcast_bytes=limit)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                up = [up[y] if u == up[x] else u for u in up]
+    first = {}
+    for k in (k for k in range(len(rows)) if sets[k]):
+        order = (rows[k][0] is None, rows[k][0] or 0, hashlib.sha256((rows[k][1] or "").encode()).digest())
+        first[up[k]] = min(first.get(up[k], (order, rows[k])), (order, rows[k]), key=lambda x: x[0])
+    want = [r for _, r in first.values()] + [rows[k] for k in range(len(rows)) if not sets[k]]
+    assert got == sorted(want, key=str)
+
+
+def test_hot_block_of_sets_that_share_a_base():
+    """Sets that share most tokens without linking, and a few that do: all found, in seconds."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 160).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 62, 70).astype(np.uint64)])) for _ in range(1500)]
+    sets += [np.unique(np.append(sets[i][:-2], rng.integers(0, 1 << 62, 3).astype(np.uint64))) for i in range(0, 300, 3)]
+    sizes = np.array([len(s) for s in sets])
+    nodes = np.arange(len(sets))
+    began = time.time()
+    links = jaccard_join.local_links(nodes, sizes, sets, nodes, 75)
+    assert time.time() - began < 60
+    assert sorted(tuple(sorted(x)) for x in links) == [(i, 1500 + k) for k, i in enumerate(range(0, 300, 3))]
+
+
 def test_empty_table(spark, docs):
     assert jaccard_join.near_duplicates(docs(["a"]).limit(0)).count() == 0
 
