@@ -4,17 +4,18 @@ Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation ove
 patterns (at most 3 ** rules of them, whatever the number of documents) estimates how often good and
 bad documents get each vote; a document's posterior probability of being good is then one expression
 over literals. Nothing is learned from labels. The signals are computed in one pass, inside the row,
-and kept in a narrow table (numbers only); texts are never shuffled.
+and stored (by `judge` in a narrow table, by `keep_good` beside the row's own columns); texts are never shuffled.
 
 Defined cases. A null text has no words and no lines, so all its counts are 0, it fails the base and is
 not kept. With an empty table the prior decides and the result is empty. Ids may be null or repeat;
-every row gives one row. Only the id and text columns are read.
+every row gives one row. `judge` reads only the id and text columns; `keep_good` gives all columns back, and its helper
+columns carry the prefix `__weft_`. Windows and lines are told apart by 64-bit hash and by text, in this order.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ from weft.llm.common import WORD_GAP, let, stored, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: A word of up to three letters, as the function words of prose are in many languages.
+SHORT_WORD = r"(?<![^\x20\x09-\x0D])\p{L}{1,3}(?![^\x20\x09-\x0D,.;:!?])"
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _sorted_repeats(hashes: Column) -> Column:
@@ -59,9 +63,9 @@ def _repeat_words(word_hashes: Column) -> Column:
     return let(word_hashes, some)
 
 
-def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and those the rules use beside."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def signal_struct(text: Column) -> Column:
+    """Counts of a text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and n_lines and n_short_words, which rules use beside."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, WORD_GAP, "") != "")
     counted = let(
         words(text),
@@ -72,26 +76,25 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
     )
     lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", counted.alias("w"), lined.alias("l"), (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    return rows.select("id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    symbols = (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.struct(counted.alias("w"), lined.alias("l"), symbols.alias("n_symbols"), F.regexp_count(text, F.lit(SHORT_WORD)).cast("long").alias("n_short_words"))
 
 
 def _band(value: Column, good_up_to: float, bad_from: float) -> Column:
     return F.when(value <= good_up_to, 1).when(value >= bad_from, -1).otherwise(0)
 
 
-def rules() -> list[Column]:
-    """The default rules, over the columns of `signals`; each gives 1, -1 or 0."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    mean = F.col("word_chars") / n
+def rules(signal: Callable[[str], Column] = F.col) -> list[Column]:
+    """The default rules, over the signals; each gives 1, -1 or 0. No two look at one trait, as the model takes votes for independent."""
+    n = F.greatest(signal("n_words"), F.lit(1))
+    mean = signal("word_chars") / n
     return [
-        F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") < 10, -1).otherwise(0),
+        F.when(signal("n_words") >= 50, 1).when(signal("n_words") < 10, -1).otherwise(0),
         F.when((mean >= 3) & (mean <= 10), 1).when((mean < 2) | (mean > 14), -1).otherwise(0),
-        _band(F.col("n_symbols") / n, 0.05, 0.3),
-        _band(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), 0.01, 0.08),
-        F.when(F.col("n_lines") < 3, 0).otherwise(_band(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.05, 0.3)),
-        _band(F.col("n_repeat_words") / n, 0.02, 0.2),
+        _band(signal("n_symbols") / F.greatest(signal("word_chars"), F.lit(1)), 0.01, 0.08),
+        F.when(signal("n_lines") < 3, 0).otherwise(_band(signal("n_dup_lines") / F.greatest(signal("n_lines"), F.lit(1)), 0.05, 0.3)),
+        _band(signal("n_repeat_words") / n, 0.02, 0.2),
+        F.when(signal("n_words") < 20, 0).when(signal("n_short_words") >= 0.15 * n, 1).when(signal("n_short_words") < 0.02 * n, -1).otherwise(0),
     ]
 
 
@@ -121,23 +124,37 @@ def estimate(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, step
     return math.log(prior / (1 - prior)), [{v: math.log(good[r][v] / bad[r][v]) for v in (1, 0, -1)} for r in range(n_rules)]
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document: id, the counts, base_failed, posterior and kept."""
-    votes = [v.cast("int").alias(f"vote{r}") for r, v in enumerate(rules())]
-    names = [f"vote{r}" for r in range(len(votes))]
-    found = stored(signals(docs, id_col, text_col).select("*", *votes), "signals")
-    patterns = [(tuple(row[:-1]), row[-1]) for row in found.groupBy(*names).count().collect()]
+def _voted(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with their signals (__weft_s) and votes, stored; and the names of the votes."""
+    named = F.struct("__weft_s.w.n_words", "__weft_s.w.word_chars", "__weft_s.n_symbols", "__weft_s.l.n_dup_lines", "__weft_s.w.n_repeat_words", "__weft_s.l.n_lines", "__weft_s.n_short_words")
+    rows = rows.withColumn("__weft_s", named)
+    votes = {f"__weft_vote{r}": v.cast("int") for r, v in enumerate(rules(lambda c: F.col(f"__weft_s.{c}")))}
+    return stored(rows.withColumns(votes), "signals"), list(votes)
+
+
+def _posterior(rows: DataFrame, names: list[str]) -> Column:
+    """Probability of being good, from the votes: fitted over the patterns of all rows."""
+    patterns = [(tuple(row[:-1]), row[-1]) for row in rows.groupBy(*names).count().collect()]
     base, weights = estimate(patterns, len(names))
     odds = F.lit(base)
     for name, weight in zip(names, weights, strict=True):
         odds = odds + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = found.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    return 1 / (1 + F.exp(-odds))
+
+
+def _base_failed() -> Column:
+    return (F.col("__weft_s.n_words") < 10) | (100 * F.col("__weft_s.n_repeat_words") > 20 * F.col("__weft_s.n_words"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """One row per document: id, the counts, base_failed, posterior and kept."""
+    found, names = _voted(docs.select(F.col(id_col).alias("id"), signal_struct(F.col(text_col)).alias("__weft_s")))
+    out = found.withColumn("posterior", _posterior(found, names)).withColumn("base_failed", _base_failed())
     kept = ~F.col("base_failed") & (F.col("posterior") >= threshold)
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "posterior")
+    return out.select(F.col("id").alias(id_col), *[f"__weft_s.{c}" for c in SIGNALS], "base_failed", kept.alias("kept"), "posterior")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that the rules keep, with their columns (rows that share an id share its best verdict)."""
-    kept = judge(docs, id_col, text_col, threshold).filter("kept").select(F.col(id_col).alias("__weft_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__weft_id")), "left_semi")
+def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that the rules keep, row by row, with their columns: votes are stored beside them, so nothing is joined."""
+    found, names = _voted(docs.withColumn("__weft_s", signal_struct(F.col(text_col))))
+    return found.filter(~_base_failed() & (_posterior(found, names) >= threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
