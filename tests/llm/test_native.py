@@ -1,10 +1,12 @@
 """Exact dedup, quality rules, URL rules and mixing against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,29 @@ def test_exact_dedup_joined_filter_and_odd_rows(spark, docs):
     assert exact_dedup.exact_duplicates(rows.limit(0)).count() == 0
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    return [line for line in plan.split("\n") if "Exchange" in line or "output" in line.lower()], plan
+
+
+def test_no_exchange_carries_texts(spark, docs):
+    rows = docs([f"text number {i % 40}" for i in range(100)])
+    for limit in (0, 64 << 20):
+        out = exact_dedup.exact_duplicates(rows, broadcast_bytes=limit)
+        assert "text#" not in exchanges(out)[1] and out.filter("kept").count() == 40
+    stay, copies = exact_dedup.split_copies(rows, "doc_id", "text", broadcast_bytes=0)
+    assert (stay.count(), copies.count()) == (40, 60) and stay.agg(F.sum("__weft_size")).first()[0] == 100
+
+
+def test_hot_groups_are_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 3)
+    rows = docs([(i, f"t{i}" if i % 3 else ["hot", "", None][i % 2]) for i in range(60)])
+    got = {r.doc_id: r for r in exact_dedup.exact_duplicates(rows).collect()}
+    assert len(got) == 60 and all((got[i].group_size, got[i].keep_id) == (10, 54 + i % 2 * 3) for i in range(0, 60, 3))
+    left = exact_dedup.join_groups(rows.select("doc_id", "text"), rows.filter("text = 'hot'").select("text", F.lit(1).alias("x")).distinct(), "text", how="left")
+    assert left.count() == 60 and left.filter("x = 1").count() == 10
+
+
 def brute_signals(text):
     text = text or ""
     w = GAP.findall(text)
@@ -83,6 +108,43 @@ def test_quality_edge_cases(spark, docs):
     assert quality_rules.keep_good(wide).columns == wide.columns
 
 
+def brute_em(votes, steps=50, prior=0.8):
+    """The two-class model over documents one by one, in numpy; posteriors."""
+    x = np.stack([votes == v for v in (1, 0, -1)], 2).astype(float)  # document, rule, vote
+    good, bad = np.tile([0.6, 0.25, 0.15], (x.shape[1], 1)), np.tile([0.15, 0.25, 0.6], (x.shape[1], 1))
+    posterior = lambda: 1 / (1 + (1 - prior) / prior * np.exp(np.einsum("drv,rv->d", x, np.log(bad) - np.log(good))))
+    for _ in range(steps):
+        p = posterior()
+        good, bad = ((np.einsum("d,drv->rv", w, x) + 1 / 3) / (w.sum() + 1) for w in (p, 1 - p))
+        prior = min(max((p.sum() + 0.8) / (len(p) + 1), 1e-6), 1 - 1e-6)
+    return posterior()
+
+
+def brute_votes(text):
+    n, chars, symbols, dup, rep = brute_signals(text)
+    lines = sum(bool(GAP.search(x)) for x in (text or "").split("\n"))
+    short = sum(bool(re.fullmatch(r"[^\W\d_]{1,3}(?:[,.;:!?].*)?", w)) for w in GAP.findall(text or ""))
+    band = lambda x, low, high: 1 if x <= low else -1 if x >= high else 0
+    mean, m = chars / max(n, 1), max(n, 1)
+    return [
+        1 if n >= 50 else -1 if n < 10 else 0,
+        1 if 3 <= mean <= 10 else -1 if mean < 2 or mean > 14 else 0,
+        band(symbols / max(chars, 1), 0.01, 0.08),
+        0 if lines < 3 else band(dup / lines, 0.05, 0.3),
+        band(rep / m, 0.02, 0.2),
+        0 if n < 20 else 1 if short >= 0.15 * n else -1 if short < 0.02 * n else 0,
+    ]
+
+
+def test_verdict_against_brute_force(spark):
+    rows = table(spark, SF, "documents").select("doc_id", "text").collect()
+    posterior = brute_em(np.array([brute_votes(r.text) for r in rows]))
+    got = {r.doc_id: r for r in quality_rules.judge(table(spark, SF, "documents")).collect()}
+    for r, p in zip(rows, posterior, strict=True):
+        assert got[r.doc_id].posterior == pytest.approx(p, abs=1e-6)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and p >= 0.5)
+
+
 def test_em_separates_patterns():
     base, weights = quality_rules.estimate([((1, 1, 1), 80), ((1, 1, 0), 10), ((-1, -1, -1), 8), ((-1, -1, 0), 2), ((1, -1, 1), 3)], 3)
     score = lambda v: base + sum(w[x] for w, x in zip(weights, v))
@@ -159,6 +221,47 @@ def test_mix_edge_cases(spark, docs):
     assert out.columns == wide.columns and out.count() == 10
 
 
+def fraction(rows, source, sizes, weight=lambda i: 1.0):
+    """Ids that a source's fraction takes, worked out one by one."""
+    key = lambda i, t: (-math.log((int(hashlib.md5(f"7|{'' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight(i), i)
+    order, at, taken = sorted((key(i, t), n) for i, t, s, n in rows if s == source), 0, []
+    for (_, i), n in order:
+        if sizes <= 0 or at + n / 2 > sizes:
+            break
+        taken.append(i)
+        at += n
+    return taken
+
+
+def test_mix_with_small_weights_is_a_sample(spark, docs):
+    """Weights of 0.01 keep the draw's order: no key saturates, so it does not fall to the id."""
+    rows = [(i, f"w{i}", "en", ["a", "b"][i % 2]) for i in range(3000)]
+    tiny = lambda text: F.lit(0.01)
+    got = {r.doc_id: r for r in mixing.mix(docs(rows), quality=tiny).collect()}
+    for source, target in (("a", 1000), ("b", 2000 - 1500)):
+        want = fraction([(i, t, s, 1) for i, t, _, s in rows], source, target, lambda i: 0.01)
+        base = 1 if source == "b" else 0
+        assert {i for i, r in got.items() if rows[i][3] == source and r.copies > base} == set(want)
+        assert abs(sum(want) / len(want) - 1500) < 120  # the ids of a sample are spread evenly
+
+
+def test_take_mix_row_by_row(spark, docs, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3, i]), " ".join(rng.choice("xyz") for _ in range(rng.randrange(1, 5))), "en", ["a", "b", None][i % 3]) for i in range(240)]
+    for limit in (100_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+        df = docs(rows).withColumn("key", F.lit("own"))
+        taken = mixing.take_mix(df)
+        assert taken.columns == df.columns
+        want = Counter()
+        for r in mixing.mix(df).collect():
+            want[r.doc_id, r.size] += r.copies
+        have = Counter()
+        for r in taken.collect():
+            have[r.doc_id, len(GAP.findall(r.text))] += 1
+        assert have == Counter({k: v for k, v in want.items() if v})
+
+
 def test_mix_prefers_quality(spark, docs):
     rows = [(i, "a b c d " + ("#" * 60 if i % 2 else ""), "en", f"s{i % 4 // 2}") for i in range(2000)]
     got = mixing.mix(docs(rows)).filter("copies > 0").collect()

@@ -23,7 +23,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    values = ", ".join(str(rule) for rule in URL_RULES)
+    rules = spark.sql(f"select * from values {values} as rules(host, path, verdict)")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
@@ -102,8 +103,9 @@ c(id, label) as (select doc_id, doc_id from d union select l.b, c.label from c j
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, min(c.label) component_id from d left join n using (doc_id) join c on c.id = d.doc_id group by d.doc_id, n.n
 """,
     "op7_mix": r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, length(text) n, length(translate(text, '#*$%&|<>', '')) plain from documents),
-k as (select *, 1.0 - pow((('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double, 1.0::double / case when n > 0 then greatest(plain::double / n, 0.01::double) else 1.0::double end) as key from d),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, length(text) n, length(translate(text, '#*$%&|<>', ''))::double plain, string_split(text, chr(10)) lines, md5(coalesce(text, '')) m from documents),
+u as (select *, (('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '') || '|' || m), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double draw from d),
+k as (select *, -ln(draw) / case when n > 0 then greatest((plain / n) * (len(list_distinct(lines))::double / len(lines)), 0.01::double) else 1.0::double end as key from u),
 s as (select source, sum(size)::bigint source_size from d group by source),
 w as (select *, (((row_number() over (order by source nulls last) - 1) % 3) + 1)::double weight, 3.0::double * source_size cap from s),
 v as (select *, greatest(0.0::double, sum(source_size::double) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) lev from w),

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm.common import A_TO_Z
+from weft.llm.exact_dedup import join_groups
 
 DEFAULT_VERDICT = "allow"
 
@@ -77,6 +78,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     active = swept.select("host", "path", F.try_element_at(F.filter("open", lambda f: F.startswith(F.col("path"), f["path"])), F.lit(-1)).alias("top"))
     length = F.struct(F.char_length("top.rule"), -F.col("top.depth"))
     best = active.filter("top is not null").groupBy("host", "path").agg(F.max_by("top", length).alias("top"))
-    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "top.rule", "top.verdict")
-    out = seen.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    # A URL, or the empty parts of all malformed ones, may be that of a third of the pages.
+    out = join_groups(seen, best.select("host", "path", "top.rule", "top.verdict"), "host", "path", how="left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
