@@ -12,8 +12,8 @@ text and language are learned from; source and id are never inputs. All language
 found are learned; texts shorter than a window are filled with spaces, as in prediction.
 
 Defined cases. A text that is null or has no letter is `und` with score 0. If no labelled row may be learned from, all
-texts are `und`. A null id counts as not held out, and hashes as an empty string. Repeated rows give their rows again. Only
-the id, text and language columns are read.
+texts are `und`. A null id counts as not held out, and hashes as an empty string. Repeated rows give their rows again. Ids may be of
+any type. Only the id, text and language columns are read.
 """
 
 from __future__ import annotations
@@ -181,10 +181,10 @@ def _predictor(net: Network):
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), letters.alias("known"))
+    rows = docs.select(F.col(id_col).alias("id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), letters.alias("known"))
     if net is None:
         return rows.select(F.col("id").alias(id_col), "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_predictor(net), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_predictor(net), f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -15,8 +15,8 @@ Characters outside the vocabulary become byte pieces if the model has them, else
 control, unknown and bytes never match text. The model file is read on the driver and its contents travel with the
 tasks, so executors need no file. Nothing is trained.
 
-Defined cases. Null text has null ids; empty text has none. A literal U+2581 decodes to a space. Ids may be null or
-repeat. Very long words are one path of the trie. Other columns are not read, or with `add_ids` come back
+Defined cases. Null text has null ids; empty text has none. A literal U+2581 decodes to a space. Ids may be null,
+repeat, and be of any type. Very long words are one path of the trie. Other columns are not read, or with `add_ids` come back
 untouched beside the ids.
 """
 
@@ -38,8 +38,10 @@ from weft.llm.chunks import ragged
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Distinct words remembered by a worker, at most.
-MEMO_WORDS = 500_000
+#: Distinct words remembered by a worker, at most, beside those of one batch.
+MEMO_WORDS = 400_000
+#: Pairs of pieces remembered by a worker, at most, beside those of one batch.
+MEMO_PAIRS = 200_000
 #: Characters that are encoded together.
 BATCH_CHARS = 4 << 20
 
@@ -176,6 +178,8 @@ class Model:
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.memo = {}
             fresh = set().union(*(w for w in split if w))
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs = {}
         self.memo |= self.encode_words(list(fresh))
         get = self.memo.__getitem__
         return [None if w is None else b"".join(map(get, w)) for w in split]
@@ -236,8 +240,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """One row per document: id, n_tokens, ids, and the decoded text's digest and whether it is the text."""
     with open(model_path, "rb") as file:
         blob = file.read()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_encoder(blob), "id long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(_encoder(blob), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded_sha256 string, round_trip boolean")
     return out.select(F.col("id").alias(id_col), F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", "decoded_sha256", "round_trip")
 
 
@@ -275,5 +279,6 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
     """Texts (id, text) of ids; bytes that are no UTF-8 become U+FFFD."""
     with open(model_path, "rb") as file:
         blob = file.read()
-    out = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(_decoder(blob), "id long, text string")
+    named = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    out = named.mapInArrow(_decoder(blob), f"id {named.schema['id'].dataType.simpleString()}, text string")
     return out.withColumnRenamed("id", id_col)
