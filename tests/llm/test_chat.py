@@ -41,8 +41,11 @@ def brute(rows):
         votes, linked = {}, 0
         for level, q in quotes if t is not None else []:
             whole = latest(c, t, norm("\n".join(q)))
-            lines = [h for h in map(norm, q) if h]
-            hits = [(whole, max(1, len(lines)))] if whole is not None else [(u, 1) for u in (latest(c, t, h) for h in lines) if u is not None]
+            hits = [(whole, max(1, sum(1 for h in map(norm, q) if h)))] if whole is not None else []
+            for part in [] if hits else re.split(r"\n(?:\s*\n)+", "\n".join(q)):
+                lines = [h for h in map(norm, part.split("\n")) if h]
+                one = latest(c, t, norm(part)) if norm(part) else None
+                hits += [(one, max(1, len(lines)))] if one is not None else [(u, 1) for u in (latest(c, t, h) for h in lines) if u is not None]
             linked += bool(hits)
             for u, w in hits:
                 votes[u] = votes.get(u, 0) + (w if level == 1 else 0)
@@ -93,6 +96,13 @@ def test_edge_rows(spark):
     assert chat_format.link_quotes(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
 
 
+def test_rewrapped_paragraphs(spark):
+    long = "one two three four\nfive six\n\nseven eight nine\nten"
+    rows = [(1, 0, "u", long), (1, 1, "u", "seven eight nine"), (1, 2, "u", "> one two\n> three four five six\n>\n> seven eight\n> nine ten\nyes"), (1, 3, "u", "> zero\n> four\n> \n> seven eight nine\nno")]
+    got = compare(spark, rows)
+    assert [(r[1], r[3]) for r in got] == [(0, None), (1, None), (2, 0), (3, 1)]
+
+
 def test_long_chain_and_format(spark):
     rows = [(7, t, "user", (f"> msg {t - 1}\n" if t else "") + f"msg {t}") for t in range(70)]
     got = compare(spark, rows)

@@ -3,9 +3,10 @@
 A line that starts with one or more `>` (spaces and tabs may stand between) is quoted, at a level that is the number
 of signs; neighbouring lines of one level are a passage. Passages and their lines are normalised (lower case, white space
 collapsed) and hashed, as are each message's own text, paragraphs and lines. A passage is linked to the latest
-earlier message of its conversation that has it as own text, paragraph or line; if none has it whole,
-its lines are linked one by one. A message replies to the message that most lines of its first-level passages are linked to, the
-latest one if several have as many. A message without such a link starts a thread.
+earlier message of its conversation that has it as own text, paragraph or line; if none has it whole, its
+paragraphs (between blank quoted lines) are linked one by one, and the lines of a paragraph that none has. A
+message replies to the message that most lines of its first-level passages are linked to, the latest one if several have as
+many. A message without such a link starts a thread.
 
 Conversations come out in reply order: threads by the turn that starts them, then messages by turn; a reply's turn is
 later than that of what it answers, so it always follows it. The text comes without quotes.
@@ -16,7 +17,8 @@ Threads are found by pointer doubling: one small join per doubling of the longes
 
 Defined cases. Null text is empty. Messages with a null turn link with nothing and start no thread (thread null); a null
 conversation is a conversation. Rows that share conversation and turn may be quoted alike; each has its own link, and replies
-to their turn follow the smallest thread. Passages without a letter or digit are not linked. Columns of other names are not read.
+to their turn follow the smallest thread. Passages without a letter or digit are not linked. Conversations and turns
+are whole numbers; a value of another type that does not read as one is an error. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from weft.functions.storage import stored
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]*)+)(.*)", re.S)
 #: Turns of one block of a conversation.
 BLOCK_TURNS = 1024
-PARSED = "conv long, turn long, role string, row long, own string, units array<long>, quotes array<struct<level:int,whole:long,lines:array<long>>>"
-ARROW = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("row", pa.int64()), ("own", pa.string()), ("units", pa.list_(pa.int64())), ("quotes", pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.int64()), ("lines", pa.list_(pa.int64()))])))])
+PARSED = "conv long, turn long, role string, row long, own string, units array<long>, quotes array<struct<level:int,whole:long,parts:array<struct<whole:long,lines:array<long>>>>>"
+ARROW = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("row", pa.int64()), ("own", pa.string()), ("units", pa.list_(pa.int64())), ("quotes", pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.int64()), ("parts", pa.list_(pa.struct([("whole", pa.int64()), ("lines", pa.list_(pa.int64()))])))])))])
 
 
 def digest(text: str) -> int | None:
@@ -65,10 +67,22 @@ def parse(text: str | None) -> tuple[str, list[int], list[dict]]:
         before = level
     mine = "\n".join(own).strip("\n")
     units = {digest(mine), *map(digest, own), *map(digest, re.split(r"\n[ \t]*\n", mine))} - {None}
-    quotes = [{"level": level, "whole": digest("\n".join(lines)), "lines": [h for h in map(digest, lines) if h is not None]} for level, lines in passages]
+    quotes = [{"level": level, "whole": digest("\n".join(lines)), "parts": _paragraphs(lines)} for level, lines in passages]
     return mine, sorted(units), [q for q in quotes if q["whole"] is not None]
 
 
+def _paragraphs(lines: list[str]) -> list[dict]:
+    """Hashes of the paragraphs of a passage and of their lines; those without a letter or digit are left out."""
+    parts: list[list[str]] = [[]]
+    for line in lines:
+        if line.strip():
+            parts[-1].append(line)
+        elif parts[-1]:
+            parts.append([])
+    out = [{"whole": digest("\n".join(p)), "lines": [h for h in map(digest, p) if h is not None]} for p in parts]
+    return [p for p in out if p["whole"] is not None]
+
+
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [parse(t) for t in batch.column(4).to_pylist()]
@@ -115,15 +129,22 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).cast("string").alias("text"))
     parsed = stored(rows.mapInArrow(_parser, PARSED), "messages")
     quoting = parsed.filter((F.size("quotes") > 0) & F.col("turn").isNotNull()).select("conv", "turn", "row", F.posexplode("quotes").alias("nth", "q")).distinct()
-    ways = F.array(F.struct(F.lit(True).alias("full"), F.col("q.whole").alias("h"), F.greatest(F.lit(1), F.size("q.lines")).alias("weight"), F.lit(-1).alias("line")))
-    ways = F.concat(ways, F.transform("q.lines", lambda h, i: F.struct(F.lit(False).alias("full"), h.alias("h"), F.lit(1).alias("weight"), i.alias("line"))))
-    asked = quoting.select("conv", "turn", "row", "nth", F.col("q.level").alias("level"), F.inline(ways))
+    # Ways to be found, from the best: the passage (way 0), one of its paragraphs (1), a line of that paragraph (2).
+    def way(kind: int, h: Column, weight: Column, part: Column, line: Column) -> Column:
+        return F.struct(F.lit(kind).alias("way"), h.alias("h"), weight.cast("int").alias("weight"), part.cast("int").alias("part"), line.cast("int").alias("line"))
+
+    none, sizes = F.lit(-1), F.aggregate("q.parts", F.lit(0), lambda n, p: n + F.size(p["lines"]))
+    ways = F.array(way(0, F.col("q.whole"), F.greatest(F.lit(1), sizes), none, none))
+    parts = F.transform("q.parts", lambda p, i: F.concat(F.array(way(1, p["whole"], F.greatest(F.lit(1), F.size(p["lines"])), i, none)), F.transform(p["lines"], lambda h, k: way(2, h, F.lit(1), i, k))))
+    asked = quoting.select("conv", "turn", "row", "nth", F.col("q.level").alias("level"), F.inline(F.concat(ways, F.flatten(parts))))
     had = parsed.filter("turn is not null").select("conv", "turn", F.explode("units").alias("h"))
     wanted = asked.select(F.col("conv").alias("c"), F.col("h").alias("h2")).distinct()
     had = had.join(wanted, _same("conv", "c") & (F.col("h") == F.col("h2")), "left_semi")
     found = _latest_before(asked, had).filter("found is not null")
     passage = W.partitionBy("conv", "turn", "row", "nth")
-    found = found.withColumn("whole", F.max("full").over(passage)).filter("full or not whole")
+    found = found.withColumn("best", F.min("way").over(passage)).filter("way = 0 or best > 0")
+    paragraph = W.partitionBy("conv", "turn", "row", "nth", "part")
+    found = found.withColumn("best", F.min("way").over(paragraph)).filter("way < 2 or best = 2")
     votes = found.groupBy("conv", "turn", "row", "found").agg(F.sum(F.when(F.col("level") == 1, F.col("weight")).otherwise(0)).alias("votes"), F.collect_set("nth").alias("passages"))
     # A message's votes are at most as many as its passages' lines, so these groups are as small as messages.
     links = votes.groupBy("conv", "turn", "row").agg(F.max_by("found", F.struct("votes", "found")).alias("reply_to"), F.max("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("passages")))).cast("long").alias("n_linked"))
