@@ -2,12 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of docs; the last one adds the
 ids. Each is judged on its own input: all statistics are those of the documents that are left.
+
+Defined cases, for every stage. Decisions are taken row by row: ids may be null or repeat, and rows that share an id
+are told apart by their texts. Null, empty and very short texts fail the quality rules and go there. Columns of other
+names pass through, whatever they are called, but for the prefix `__weft_` of helper columns; a column named `ids`
+stays, and the token ids then come as `ids_1` (`ids_2`, and so on). Of rows that repeat id and text one is left after exact
+dedup. An empty table gives an empty result with all columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weft.functions.storage import stored
 from weft.llm import exact_dedup, jaccard_join, mixing, quality_rules, sentencepiece_codec
@@ -28,9 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    groups = jaccard_join.near_duplicates(docs)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    return jaccard_join.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return sentencepiece_codec.add_ids(docs, SENTENCEPIECE_MODEL)
+    taken = {c.lower() for c in docs.columns}
+    free = next(name for k in range(len(taken) + 1) if (name := f"ids_{k}" if k else "ids") not in taken)
+    return sentencepiece_codec.add_ids(docs, SENTENCEPIECE_MODEL, ids_col=free)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near duplicates", near), ("mix sources", mix), ("encode", encode)]
