@@ -505,6 +505,14 @@ def mtx_lines(g):
     return g.spark.read.text("file://" + path).filter("value not like '\\%%' and value like '% 1'").select(F.col("value").alias("line"))
 
 
+@_query
+def mtx_entries(g):
+    """A general matrix with values, written and read again."""
+    entries = g.edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), (F.col("dst") - F.col("src") + 0.5).alias("value"), F.lit(0.0).alias("imaginary"))
+    edge_files.write_matrix(entries, path := _scratch(g, ".mtx"), g.num_vertices, g.num_vertices, edge_files.Banner("coordinate", "real", "general"))
+    return edge_files.read_matrix(g.spark, f"file://{path}")[0]
+
+
 def _snap_lines(g: Graph) -> DataFrame:
     return g.edges.select(F.concat_ws("\t", F.col("dst").cast("string"), F.col("src").cast("string"), F.lit("x")).alias("line"))
 
@@ -661,6 +669,7 @@ ORACLES = {
     "el64_header": _sql("select (select n from v) num_vertices, (select count(*) from e) num_edges, 'el64' format, true is_deduped"),
     "shard_placement": _sql(f"select j % {NODELETS} shard, j // {NODELETS} as at, src, dst from (select src, dst, row_number() over (order by src, dst) - 1 j from e)"),
     "mtx_lines": _sql("select (dst + 1) || ' ' || (src + 1) || ' 1' line from e"),
+    "mtx_entries": _sql("select src as row, dst col, (dst - src) + 0.5::double as value, 0::double imaginary from e"),
     "converted_files": _sql(f"select 'mtx' kind, src, dst from e union all select 'tsv', src, dst from e union all select 'txt', src, dst from ({_COMPRESSED})", _DENSE),
     **dict.fromkeys(("vertex_degree", "remap_check", "edges_inserted"), _DEGREES),
     "compress_permuted": _sql("select id, degree from deg where degree > 0"),
