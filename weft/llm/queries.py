@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, url_filter
 from weft.llm.common import table
@@ -19,7 +20,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 6))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,37 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted(chat_format.placed(chat_format.link_quotes(table(spark, sf_dir, "conversations"))))
 
 
+def _em_sql() -> str:
+    """Votes by pattern, and the estimation over them as a recursion of one row: the prior, and each rule's votes in both classes."""
+    pairs = [(r, v) for r in range(6) for v in (1, 0, -1)]
+    place = lambda r: f"({3 * r + 2} - v{r})"
+    odds = "ln(prior / (1 - prior)) + " + " + ".join(f"ln(g[{place(r)}] / b[{place(r)}])" for r in range(6))
+    learn = lambda p: "[" + ", ".join(f"(1.0::double / 3 + coalesce(sum({p} * n) filter (v{r} = {v}), 0)) / (1 + sum({p} * n))" for r, v in pairs) + "]"
+    start = lambda row: "[" + ", ".join(f"{x}::double" for x in row * 6) + "]"
+    names = ", ".join(f"v{r}" for r in range(6))
+    return f"""patterns as materialized (select {names}, count(*)::double n from votes group by all),
+em(step, prior, g, b) as (select 0, 0.8::double, {start([0.6, 0.25, 0.15])}, {start([0.15, 0.25, 0.6])} union all
+  select step + 1, least(greatest((sum(p * n) + 0.8::double) / (sum(n) + 1), 1e-6::double), 1 - 1e-6::double), {learn('p')}, {learn('(1 - p)')}
+  from (select step, patterns.*, 1 / (1 + exp(-({odds}))) p from em, patterns where step < 50) group by step),
+verdict as (select doc_id, 1 / (1 + exp(-({odds}))) posterior from votes, em where step = 50)"""
+
+
 ORACLES = {
+    "op2_quality_rules": r"""
+with recursive d as materialized (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
+x as (select doc_id, i, w[i:i + 4] five from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d where len(w) >= 5)),
+o as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, five) n from x) where n > 1),
+c as (select doc_id, count(*) n from (select distinct doc_id, unnest(range(i, i + 5)) place from o) group by doc_id),
+s as materialized (select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint n_symbols,
+  (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words, len(l) lines, len(list_filter(w, lambda x: regexp_full_match(x, '\p{L}{1,3}([,.;:!?].*)?'))) short from d left join c using (doc_id)),
+q as (select doc_id, n_words, lines, short, word_chars::double / greatest(n_words, 1) mean, n_symbols::double / greatest(word_chars, 1) signs, n_dup_lines::double / greatest(lines, 1) dup, n_repeat_words::double / greatest(n_words, 1) rep from s),
+votes as materialized (select doc_id, case when n_words >= 50 then 1 when n_words < 10 then -1 else 0 end v0, case when mean >= 3 and mean <= 10 then 1 when mean < 2 or mean > 14 then -1 else 0 end v1,
+  case when signs <= 0.01::double then 1 when signs >= 0.08::double then -1 else 0 end v2, case when lines < 3 then 0 when dup <= 0.05::double then 1 when dup >= 0.3::double then -1 else 0 end v3,
+  case when rep <= 0.02::double then 1 when rep >= 0.2::double then -1 else 0 end v4, case when n_words < 20 then 0 when short >= 0.15::double * n_words then 1 when short < 0.02::double * n_words then -1 else 0 end v5 from q),
+""" + _em_sql() + r"""
+select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and posterior >= 0.5 kept, round(posterior, 6) posterior from s join verdict using (doc_id)
+""",
     "op1_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))
