@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weft.functions.lcg import LCG, pick_random_vertex
 from weft.functions.stats import trial_stats
+from weft.functions.threefry import Stream, blocks
 from weft.operators import components, prep, triangles
 from weft.operators.bfs import BFS, STRATEGIES
 from weft.operators.graph import Graph
@@ -170,6 +172,17 @@ def test_maps_and_scores(spark):
     assert BFS(g, 0).frontier_sizes(2).count() == 3
 
 
+def test_counter_generator():
+    zero = blocks(np.zeros((1, 4), np.uint64), (0, 0, 0, 0))[0]
+    assert [f"{int(x):016x}" for x in zero] == ["09218ebde6c85537", "55941f5266d86105", "4bd25e16282434dc", "ee29ec846bd2e40b"]  # published known answer
+    whole = Stream(3).draws(1000)
+    for skip in (0, 1, 8, 333):
+        part = Stream(3)
+        part.discard(skip)
+        assert (np.concatenate([part.draws(5), part.draws(200)]) == whole[skip : skip + 205]).all()
+    assert abs(whole.mean() / 2**32 - 0.5) < 0.03 and len(set(whole.tolist())) > 995
+
+
 def test_lcg_and_statistics(spark):
     rng = LCG()
     assert [rng() for _ in range(5)] == [6364136223846793006, 13885033948157127959, 14678909342070756876, 14340359694176818205, 3490389784639564826]

@@ -48,7 +48,7 @@ def test_query(spark, duck, graphs, name, quantity):
     assert cols == sorted(want.columns)
     rows = want.fetchall()
     place = [want.columns.index(c) for c in cols]
-    assert sorted(key(r) for r in got.select(*cols).collect()) == sorted(key(r[i] for i in place) for r in rows)
+    assert sorted((key(r) for r in got.select(*cols).collect()), key=repr) == sorted((key(r[i] for i in place) for r in rows), key=repr)
 
 
 def test_entry(spark):

@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions import threefry
 from weft.functions.lcg import LCG, pick_random_vertex
 from weft.functions.stats import trial_stats
 from weft.functions.storage import shared_dir
@@ -573,11 +574,19 @@ def lcg_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, str(LCG(k)())) for k in range(40)], "step int, draw string")
 
 
+def counter_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of the counter-based generator, the second half after a skip."""
+    whole, skipped = threefry.Stream(7), threefry.Stream(7)
+    skipped.discard(27)
+    draws = [*whole.draws(27).tolist(), *skipped.draws(37).tolist()]
+    return spark.createDataFrame(list(enumerate(draws)), "place int, draw long")
+
+
 def trial_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trial_stats(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_retailprice").select(*[F.round(c, 4).alias(c) for c in ("sum", "mean", "hmean", "stddev", "min", "max")])
 
 
-QUERIES |= {"rmat_arguments": rmat_arguments, "rmat_edges": rmat_edges, "rmat_check": rmat_check, "lcg_draws": lcg_draws, "trial_stats": trial_statistics}
+QUERIES |= {"rmat_arguments": rmat_arguments, "rmat_edges": rmat_edges, "rmat_check": rmat_check, "lcg_draws": lcg_draws, "counter_draws": counter_draws, "trial_stats": trial_statistics}
 
 
 @_query
@@ -628,7 +637,8 @@ _TRUSS_ALL = _TRUSS.replace("{limit}", "9223372036854775807")
 
 
 def _truss_sizes(limit: int | None = None) -> str:
-    top = f"{limit}" if limit else "(select max(kte) from kt)"
+    # The limit is reached if edges are left when its pass begins, even if they go in it.
+    top = f"(select case when max(kte) >= {limit} - 1 then {limit} else max(kte) end from kt)" if limit else "(select max(kte) from kt)"
     return f"""select ks.k::int k, (select count(*) from (select id, max(kte) top from (select src id, kte from kt union all select dst, kte from kt) group by id) where top >= ks.k) vertices,
 (select count(*) from kt where kte >= ks.k) edges from (select unnest(range(2, {top} + 1)) k) ks"""
 
@@ -662,7 +672,21 @@ def _histogram_sql(kind: str, nodelets: int, width: int) -> str:
     return _sql(f"select '{kind}' kind, place, round(share, 9) share, floor(10 * share / max(share) over ())::bigint bar from (select (id % {nodelets}) // {width} place, sum(degree)::double / (2.0 * (select count(*) from e)) share from deg group by 1)")
 
 
+#: The published rounds of the counter-based generator, a row each, on words modulo 2 ** 64 held in wider ones; key 7.
+_COUNTER = """with recursive turns(nth, e, o) as (values (0, 14, 16), (1, 52, 57), (2, 23, 40), (3, 5, 37), (4, 25, 33), (5, 46, 12), (6, 58, 22), (7, 32, 32)),
+keys as (select [7::uhugeint, 0::uhugeint, 0::uhugeint, 0::uhugeint, 2004413935125273125::uhugeint] k, 18446744073709551616::uhugeint m),
+s(r, c, x0, x1, x2, x3) as (select 0, c, (c + 7)::uhugeint, 0::uhugeint, 0::uhugeint, 0::uhugeint from range(8) t(c) union all
+  select r + 1, c, case when r % 4 = 3 then (y0 + k[(r // 4 + 1) % 5 + 1]) % m else y0 end, case when r % 4 = 3 then (y1 + k[(r // 4 + 2) % 5 + 1]) % m else y1 end,
+    case when r % 4 = 3 then (y2 + k[(r // 4 + 3) % 5 + 1]) % m else y2 end, case when r % 4 = 3 then (y3 + k[(r // 4 + 4) % 5 + 1] + (r // 4 + 1)::uhugeint) % m else y3 end
+  from (select *, xor(case when r % 2 = 0 then t1 else u1 end, case when r % 2 = 0 then y0 else y2 end) y1, xor(case when r % 2 = 0 then u3 else t3 end, case when r % 2 = 0 then y2 else y0 end) y3
+    from (select *, (x0 + case when r % 2 = 0 then x1 else x3 end) % m y0, (x2 + case when r % 2 = 0 then x3 else x1 end) % m y2,
+        (x1 * pe) % m + x1 // qe t1, (x1 * po) % m + x1 // qo u1, (x3 * pe) % m + x3 // qe t3, (x3 * po) % m + x3 // qo u3
+      from (select s.*, k, m, pow2[e + 1] pe, pow2[65 - e] qe, pow2[o + 1] po, pow2[65 - o] qo from s join turns on nth = r % 8, keys, (select list(1::uhugeint << i::uhugeint order by i) pow2 from range(65) p(i)) where r < 20))))
+select (c * 8 + j)::int place, (case when j % 2 = 0 then x % 4294967296::uhugeint else x // 4294967296::uhugeint end)::bigint draw
+from (select c, unnest([0, 1, 2, 3, 4, 5, 6, 7]) j, unnest([x0, x0, x1, x1, x2, x2, x3, x3]) x from s where r = 20)"""
+
 ORACLES = {
+    "counter_draws": _COUNTER,
     **dict.fromkeys(("edges_canonical", "el64_roundtrip", "fileset_roundtrip", "mtx_roundtrip", "tsv_import", "flipped_edges", "deduplicated_edges", "self_edges_dropped"), _EDGES),
     **dict.fromkeys(("sorted_edges", "el64_local"), _sql("select src, dst, row_number() over (order by src, dst) - 1 place from e")),
     "graph_size": _sql("select (select n from v) num_vertices, (select count(*) from e) num_edges"),
