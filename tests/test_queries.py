@@ -30,13 +30,13 @@ def key(row):
     return tuple(round(x, 6) if isinstance(x, float) and math.isfinite(x) else x for x in row)
 
 
-#: Searched, peeled and propagated on the fixture of large quantities too, which has isolated parts and longer ways.
+#: Searched, peeled and propagated on fixtures of large quantities too, which have isolated parts and longer ways.
 ON_FIXTURE = [n for n in sorted(graph_queries.ORACLES) if n.startswith(("bfs_", "cc_", "ktruss_", "pagerank_"))]
 #: Peeling the whole table takes more than a hundred passes.
 WHOLE = [n for n in sorted(graph_queries.ORACLES) if not n.startswith("ktruss_") or n == "ktruss_klimit"]
 
 
-@pytest.mark.parametrize(("name", "quantity"), [(n, None) for n in WHOLE] + [(n, 40) for n in ON_FIXTURE] + [(n, 46) for n in ON_FIXTURE if n.startswith("cc_")])
+@pytest.mark.parametrize(("name", "quantity"), [(n, None) for n in WHOLE] + [(n, 46 if n.startswith("cc_") else 40) for n in ON_FIXTURE])
 def test_query(spark, duck, graphs, name, quantity):
     sql = graph_queries.ORACLES[name]
     got = graph_queries.OPERATIONS[name](graphs(quantity)) if name in graph_queries.OPERATIONS else graph_queries.QUERIES[name](spark, SF)
