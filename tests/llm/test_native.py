@@ -110,12 +110,14 @@ def test_quality_edge_cases(spark, docs):
 
 def brute_em(votes, steps=50, prior=0.8):
     """The two-class model over documents one by one, in numpy; posteriors."""
-    x = np.stack([votes == v for v in (1, 0, -1)], 2).astype(float)  # document, rule, vote
-    good, bad = np.tile([0.6, 0.25, 0.15], (x.shape[1], 1)), np.tile([0.15, 0.25, 0.6], (x.shape[1], 1))
+    x = np.stack([votes == v for v in (1, -1)], 2).astype(float)  # document, rule, vote
+    good = np.tile([0.8, 0.2], (x.shape[1], 1))
+    bad = good[:, ::-1]
     posterior = lambda: 1 / (1 + (1 - prior) / prior * np.exp(np.einsum("drv,rv->d", x, np.log(bad) - np.log(good))))
     for _ in range(steps):
         p = posterior()
-        good, bad = ((np.einsum("d,drv->rv", w, x) + 1 / 3) / (w.sum() + 1) for w in (p, 1 - p))
+        counts = [np.einsum("d,drv->rv", w, x) + 0.5 for w in (p, 1 - p)]
+        good, bad = (c / c.sum(1, keepdims=True) for c in counts)
         prior = min(max((p.sum() + 0.8) / (len(p) + 1), 1e-6), 1 - 1e-6)
     return posterior()
 
@@ -149,6 +151,15 @@ def test_em_separates_patterns():
     base, weights = quality_rules.estimate([((1, 1, 1), 80), ((1, 1, 0), 10), ((-1, -1, -1), 8), ((-1, -1, 0), 2), ((1, -1, 1), 3)], 3)
     score = lambda v: base + sum(w[x] for w, x in zip(weights, v))
     assert score((1, 1, 1)) > 0 > score((-1, -1, -1))
+    assert score((0, 0, 0)) == base and all(w[0] == 0 for w in weights)  # abstentions say nothing
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_clean_documents_are_kept_at_every_size(spark, sf):
+    judged = quality_rules.judge(table(spark, f"/root/testdata/{sf}", "documents")).filter("not base_failed")
+    found = judged.join(table(spark, f"/root/testdata/{sf}", "labels"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()
+    share = {r.quality: r.share for r in found}
+    assert share[1] >= 0.995 and share[0] <= 0.1
 
 
 def brute_url(url, rules):

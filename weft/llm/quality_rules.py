@@ -1,8 +1,8 @@
 """Quality rules by weak supervision, DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the counts of vote
-patterns (at most 3 ** rules of them, whatever the number of documents) estimates how often good and
-bad documents get each vote; a document's posterior probability of being good is then one expression
+patterns (at most 3 ** rules of them, whatever the number of documents) estimates how often each rule is
+right on good and on bad documents that it votes on; a document's posterior probability of being good is then one expression
 over literals. Nothing is learned from labels. The signals are computed in one pass, inside the row,
 and stored (by `judge` in a narrow table, by `keep_good` beside the row's own columns); texts are never shuffled.
 
@@ -101,27 +101,26 @@ def rules(signal: Callable[[str], Column] = F.col) -> list[Column]:
 def estimate(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, steps: int = 50, prior: float = 0.8) -> tuple[float, list[dict[int, float]]]:
     """EM for a two-class model with independent votes: log-odds of the prior, and of each rule's votes.
 
-    Rules start out 80 % accurate, so that "good" stays the class that rules vote 1 for. One
-    pseudo-document, split between votes, keeps every estimate inside (0, 1).
+    An abstention says nothing: a rule is judged by the documents that it votes on. Rules start out 80 % accurate, so that "good"
+    stays the class that rules vote 1 for. One pseudo-document a rule, split between its votes, keeps every estimate inside (0, 1).
     """
-    good = [{1: 0.6, 0: 0.25, -1: 0.15} for _ in range(n_rules)]
-    bad = [{1: 0.15, 0: 0.25, -1: 0.6} for _ in range(n_rules)]
+    good = [{1: 0.8, -1: 0.2} for _ in range(n_rules)]
+    bad = [{1: 0.2, -1: 0.8} for _ in range(n_rules)]
     for _ in range(steps):
-        base = math.log(prior / (1 - prior))
-        mass, seen = [1.0, 1.0], [[{v: 1 / 3 for v in (1, 0, -1)} for _ in range(n_rules)] for _ in range(2)]
-        share = 0.0
+        base, share = math.log(prior / (1 - prior)), 0.0
+        seen = [[{1: 0.5, -1: 0.5} for _ in range(n_rules)] for _ in range(2)]
         for votes, count in patterns:
-            odds = base + sum(math.log(good[r][v] / bad[r][v]) for r, v in enumerate(votes))
+            odds = base + sum(math.log(good[r][v] / bad[r][v]) for r, v in enumerate(votes) if v)
             p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
             share += p * count
-            for side, weight in enumerate((p * count, (1 - p) * count)):
-                mass[side] += weight
+            for side, weight in zip(seen, (p * count, (1 - p) * count), strict=True):
                 for r, v in enumerate(votes):
-                    seen[side][r][v] += weight
+                    if v:
+                        side[r][v] += weight
         total = sum(c for _, c in patterns)
         prior = min(max((share + 0.8) / (total + 1), 1e-6), 1 - 1e-6)
-        good, bad = ([{v: seen[s][r][v] / mass[s] for v in (1, 0, -1)} for r in range(n_rules)] for s in range(2))
-    return math.log(prior / (1 - prior)), [{v: math.log(good[r][v] / bad[r][v]) for v in (1, 0, -1)} for r in range(n_rules)]
+        good, bad = ([{v: rule[v] / (rule[1] + rule[-1]) for v in rule} for rule in side] for side in seen)
+    return math.log(prior / (1 - prior)), [{v: math.log(good[r][v] / bad[r][v]) for v in (1, -1)} | {0: 0.0} for r in range(n_rules)]
 
 
 def _voted(rows: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -59,14 +59,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _em_sql() -> str:
     """Votes by pattern, and the estimation over them as a recursion of one row: the prior, and each rule's votes in both classes."""
-    pairs = [(r, v) for r in range(6) for v in (1, 0, -1)]
-    place = lambda r: f"({3 * r + 2} - v{r})"
-    odds = "ln(prior / (1 - prior)) + " + " + ".join(f"ln(g[{place(r)}] / b[{place(r)}])" for r in range(6))
-    learn = lambda p: "[" + ", ".join(f"(1.0::double / 3 + coalesce(sum({p} * n) filter (v{r} = {v}), 0)) / (1 + sum({p} * n))" for r, v in pairs) + "]"
+    pairs = [(r, v) for r in range(6) for v in (1, -1)]
+    place = lambda r: f"({2 * r} + (3 - v{r}) // 2)"
+    odds = "ln(prior / (1 - prior)) + " + " + ".join(f"case when v{r} = 0 then 0 else ln(g[{place(r)}] / b[{place(r)}]) end" for r in range(6))
+    learn = lambda p: "[" + ", ".join(f"(0.5::double + coalesce(sum({p} * n) filter (v{r} = {v}), 0)) / (1 + coalesce(sum({p} * n) filter (v{r} <> 0), 0))" for r, v in pairs) + "]"
     start = lambda row: "[" + ", ".join(f"{x}::double" for x in row * 6) + "]"
     names = ", ".join(f"v{r}" for r in range(6))
     return f"""patterns as materialized (select {names}, count(*)::double n from votes group by all),
-em(step, prior, g, b) as (select 0, 0.8::double, {start([0.6, 0.25, 0.15])}, {start([0.15, 0.25, 0.6])} union all
+em(step, prior, g, b) as (select 0, 0.8::double, {start([0.8, 0.2])}, {start([0.2, 0.8])} union all
   select step + 1, least(greatest((sum(p * n) + 0.8::double) / (sum(n) + 1), 1e-6::double), 1 - 1e-6::double), {learn('p')}, {learn('(1 - p)')}
   from (select step, patterns.*, 1 / (1 + exp(-({odds}))) p from em, patterns where step < 50) group by step),
 verdict as (select doc_id, 1 / (1 + exp(-({odds}))) posterior from votes, em where step = 50)"""
