@@ -73,3 +73,49 @@ def test_edge_rows(spark, docs, library):
     back = {(r.doc_id, r.text) for r in codec.decode(wide, SENTENCEPIECE_MODEL, ids_col="tokens").collect()}
     assert back == {(r.doc_id, r.text) for r in df.collect()}
     assert codec.encode(df.limit(0), SENTENCEPIECE_MODEL).count() == 0
+
+
+def given(model):
+    """The words that the Viterbi is given from now on."""
+    words, run = [], model.encode_words
+    model.encode_words = lambda distinct: words.extend(distinct) or run(distinct)
+    return words
+
+
+def test_full_memory_keeps_words_of_late(library, monkeypatch):
+    monkeypatch.setattr(codec, "MEMO_WORDS", 60)
+    monkeypatch.setattr(codec, "MEMO_PAIRS", 20)
+    with open(SENTENCEPIECE_MODEL, "rb") as file:
+        model = codec.Model(file.read())
+    words, common = given(model), " ".join(f"c{chr(97 + k)}mmon" for k in range(10))
+    for n in range(12):
+        text = f"{common} " + " ".join(f"r{chr(97 + n)}{chr(97 + k)}re" for k in range(15))
+        assert np.frombuffer(model.encode([text])[0], "<i4").tolist() == library.encode(text)
+        assert len(model.memo) + len(getattr(model, "older", ())) <= 60
+    assert sum("mmon" in w for w in words) == 10
+
+
+def test_cuts_wherever_no_piece_reaches(library):
+    with open(SENTENCEPIECE_MODEL, "rb") as file:
+        model = codec.Model(file.read())
+    words = given(model)
+    texts = ["so end", "so end.", "so end,", "end.\nSo", "so «end».", "3.14 é. né.e"]
+    assert [np.frombuffer(x, "<i4").tolist() for x in model.encode(texts)] == [library.encode(t) for t in texts]
+    assert not [w for w in words if "d." in w or "d," in w] and sum("end" in w for w in words) <= 2
+
+
+def test_neighbouring_unknown_characters_without_byte_pieces():
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(SENTENCEPIECE_MODEL, "rb") as file:
+        proto.ParseFromString(file.read())
+    proto.trainer_spec.byte_fallback = False
+    for p in proto.pieces:
+        if p.type == codec.BYTE:
+            p.type = codec.CONTROL
+        if p.piece in "\t\n\v\f;é":
+            p.piece = f"<{ord(p.piece)}>"
+    blob = proto.SerializeToString()
+    model, library = codec.Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+    texts = [t for t in ODD + random_texts(800) if "\0" not in t] + ["a\n\tb", "\t\n", "a;\n;b", "é\n", "\n a \n"]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text), repr(text)
